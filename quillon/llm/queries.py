@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, linededup, mixing
+from quillon.llm import decontamination, linededup, mixing, neardedup
 from quillon.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_decontaminate": op9_decontaminate,
     }
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": linededup.ORACLE,
+        "op3_near_dedup": neardedup.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
         "op9_decontaminate": decontamination.ORACLE,
     }
