@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, linededup, mixing, neardedup
+from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, toxicity
 from quillon.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,12 +30,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dedup": op3_near_dedup,
+        "op5_license_scan": op5_license_scan,
         "op8_mix_sources": op8_mix_sources,
         "op9_decontaminate": op9_decontaminate,
+        "op10_toxicity": op10_toxicity,
     }
 
 
