@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, toxicity
+from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, toxicity
 from quillon.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality.trusted_of(table(spark, sf_dir, "labels")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dedup": op3_near_dedup,
+        "op4_quality": op4_quality,
         "op5_license_scan": op5_license_scan,
         "op8_mix_sources": op8_mix_sources,
         "op9_decontaminate": op9_decontaminate,
