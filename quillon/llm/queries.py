@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, toxicity
+from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, toxicity, vectordedup
 from quillon.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
         "op5_license_scan": op5_license_scan,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
@@ -54,6 +59,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": linededup.ORACLE,
         "op3_near_dedup": neardedup.ORACLE,
+        "op7_embedding_dedup": vectordedup.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
         "op9_decontaminate": decontamination.ORACLE,
     }
