@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, toxicity, vectordedup
+from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, suffixdedup, toxicity, vectordedup
 from quillon.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
