@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, suffixdedup, toxicity, vectordedup
+from quillon.llm import decontamination, licenses, linededup, mixing, neardedup, quality, secrets, suffixdedup, toxicity, vectordedup
 from quillon.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
         "op5_license_scan": op5_license_scan,
+        "op6_secret_scan": op6_secret_scan,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_decontaminate": op9_decontaminate,
