@@ -37,6 +37,8 @@ RANGE_BYTES = 8 << 20
 #: Different blocks of an anchor beyond which its strings are compared one by one.
 MANY = 2000
 PIECE = 4 << 20
+#: Texts that drop each other's blocks before anything is sent.
+SLICE = 8 << 20
 U = np.uint64
 
 
@@ -151,7 +153,7 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for i, j in B.groups(offs):
+    for i, j in B.groups(offs, 1 << 19):
         if offs[j] - offs[i] <= PIECE:
             a, b, d, s, c = blocks(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
             yield a, b, d + i, s, c
@@ -198,28 +200,27 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
             ids = batch.column(0).to_numpy()
             buf, offs = B.raw(batch.column(1))
-            got = list(_pieces(buf, offs, length))
-            a, b, d, s, c = (np.concatenate(x) for x in zip(*got, strict=True))
-            d = ids[d]
-            order, new = _first((a, b, d, s))
-            first, again = order[new], order[~new]
-            bucket = (a >> U(64 - bits)).astype(np.int64)
-            out: dict[str, list] = {"bucket": [], "n": [], "own": [], "blob": []}
-            for own, rows in ((False, first), (True, again)):
-                # by document, for small differences; the removed ones only pass through
-                for k, x in _by(bucket[rows], rows):
-                    x = x[np.lexsort((s[x], d[x]))]
-                    zero = np.zeros(len(x), U)
-                    blob = _pack([zero if own else a[x], zero if own else b[x], d[x], s[x], c[x]])
-                    out["bucket"].append(k)
-                    out["n"].append(len(x))
-                    out["own"].append(own)
-                    out["blob"].append(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["own"], pa.bool_()), pa.array(out["blob"], pa.binary())], names=["bucket", "n", "own", "blob"])
+            for i, j in B.groups(offs, SLICE):
+                yield sliced(ids[i:j], buf, offs[i : j + 1])
+
+    def sliced(ids: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        a, b, d, s, c = (np.concatenate(x) for x in zip(*_pieces(buf, offs, length), strict=True))
+        d = ids[d]
+        order, new = _first((a, b, d, s))
+        bucket = (a >> U(64 - bits)).astype(np.int64)
+        out: dict[str, list] = {"bucket": [], "n": [], "own": [], "blob": []}
+        for own, rows in ((False, order[new]), (True, order[~new])):
+            # by document, for small differences; the removed ones only pass through
+            for k, x in _by(bucket[rows], rows):
+                x = x[np.lexsort((s[x], d[x]))]
+                zero = np.zeros(len(x), U)
+                out["bucket"].append(k)
+                out["n"].append(len(x))
+                out["own"].append(own)
+                out["blob"].append(_pack([zero if own else a[x], zero if own else b[x], d[x], s[x], c[x]]))
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["own"], pa.bool_()), pa.array(out["blob"], pa.binary())], names=["bucket", "n", "own", "blob"])
 
     sent = texts.mapInArrow(cut, "bucket bigint, n bigint, own boolean, blob binary")
     meet = sent.repartition(F.col("bucket")).sortWithinPartitions("bucket")
