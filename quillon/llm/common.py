@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the cluster's shared folder: written once, then read by several later jobs."""
+    where = f"{ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytesops as B
-from quillon.llm.common import ensure_checkpoint_dir
+from quillon.llm.common import stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a range of anchors stands for, about.
@@ -185,13 +184,6 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return [a.view(U), b.view(U), np.cumsum(d.view(np.int64)), s.view(np.int64), c.view(np.int16).astype(np.int64)]
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder: written once, then read by several later jobs."""
-    where = f"{ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """doc_id, start, n: runs of strings of that length (by first byte of the first) that start earlier elsewhere, too."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= " + str(length))
@@ -256,7 +248,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
         if parts:
             yield from settle(parts)
 
-    settled = _stored(meet.mapInArrow(merge, "doc_id bigint, start bigint, n bigint, anchor bigint, hot boolean"))
+    settled = stored(meet.mapInArrow(merge, "doc_id bigint, start bigint, n bigint, anchor bigint, hot boolean"))
     wanted = settled.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("want"))
     fetched = texts.join(wanted.hint("shuffle_hash"), "doc_id")
 
@@ -282,7 +274,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1)), pa.array(np.full(m, ids[k])), pa.array(start[k] + np.arange(m)), pa.nulls(m, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["bucket", "doc_id", "start", "body", "h1", "h2"])
 
     schema = "bucket bigint, doc_id bigint, start bigint, body binary, h1 bigint, h2 bigint"
-    seen = _stored(fetched.select("doc_id", "text", "want").mapInArrow(bodies, schema))
+    seen = stored(fetched.select("doc_id", "text", "want").mapInArrow(bodies, schema))
     cold = seen.where("bucket >= 0").select("bucket", "doc_id", "start", "body").repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def sort(ids: list[int], starts: list[int], bodies_: list[bytes]) -> pa.RecordBatch:
