@@ -148,7 +148,8 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
     end = start + count + length - 1
     body = B.mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64) * U(0x9E3779B97F4A7C15))
     d = doc[start]
-    return g[at[start]], body, d, start - offs[d], count
+    # a smallest hash is a small one: mixed again, it falls on all ranges alike
+    return B.mix(g[at[start]] ^ U(0xA0761D6478BD642F)), body, d, start - offs[d], count
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
