@@ -60,3 +60,14 @@ def stored(df: DataFrame) -> DataFrame:
     where = f"{ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside q_row, the whole row: whatever else docs' columns are called, they can't clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col("doc_id"), F.col("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column); columns as in docs. Rows with a null doc_id stay."""
+    ids = gone.toDF("q_gone").distinct()
+    return packed(docs).join(small_enough(ids), F.col("doc_id") == F.col("q_gone"), "left_anti").select("q_row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillon.llm.common import cut, small_enough, words
+from quillon.llm.common import cut, packed, small_enough, words
 
 
 def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -68,7 +68,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0
 def _per_document(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     found = matches(docs, benchmark, size).groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms")).alias("q_found"))
     found = found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")
-    joined = docs.withColumn("q_hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
+    joined = packed(docs).withColumn("q_hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
     joined = joined.withColumn("q_words", words(F.col("text")))
     return joined.withColumn("q_ok", F.expr("filter(q_found, c -> c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)"))
 
@@ -76,7 +76,7 @@ def _per_document(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; columns as in docs. Null text has no words and stays."""
     marked = _per_document(docs, benchmark, size)
-    return marked.where(F.coalesce(F.size("q_ok"), F.lit(0)) <= 0).select(*docs.columns)
+    return marked.where(F.coalesce(F.size("q_ok"), F.lit(0)) <= 0).select("q_row.*")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
@@ -94,7 +94,6 @@ def digest(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     Repeated rows of docs give repeated rows; an empty benchmark hits nothing; items of fewer words than a window are one window.
     """
     marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size)
-    ok = F.coalesce("q_ok", F.expr("filter(q_found, c -> false)"))
     covered = F.expr("array_distinct(flatten(transform(q_ok, c -> sequence(c.start, c.start + size(c.terms) - 1))))")
     items = F.expr("array_sort(array_distinct(transform(q_ok, c -> cast(c.item_id as string))))")
     n_hit = F.when(F.col("q_ok").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BLANKS, ascii_lower
+from quillon.llm.common import BLANKS, ascii_lower, packed
 
 
 def _lines(text: Column) -> Column:
@@ -64,9 +64,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def mark_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """All columns of docs beside struct q_lines(all, drops, bits): every line, the compressed bitmap, and its dense form."""
+    """q_row (the row of docs), doc_id, text and q_drops, the compressed bitmap of dropped lines (null: none)."""
     bits = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), F.col("drops").alias("q_drops"))
-    left = docs.withColumn("q_hash", F.xxhash64("text"))
+    left = packed(docs).withColumn("q_hash", F.xxhash64("text"))
     joined = left.join(bits, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left")
     return joined.drop("q_id", "q_th", "q_hash")
 
@@ -82,10 +82,11 @@ def _keep(text: Column, drops: Column) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with repeated lines taken out of text (n_chars follows, where it exists); all rows and columns stay."""
     out = mark_lines(docs, min_chars, min_docs)
-    out = out.withColumn("text", F.when(F.col("q_drops").isNull(), F.col("text")).otherwise(_keep(F.col("text"), F.col("q_drops")))).drop("q_drops")
+    text = F.when(F.col("q_drops").isNull(), F.col("text")).otherwise(_keep(F.col("text"), F.col("q_drops")))
+    row = F.col("q_row").withField("text", F.col("q_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.char_length("q_text").cast(docs.schema["n_chars"].dataType))
+    return out.select("q_row", text.alias("q_text")).select(row.alias("q_row")).select("q_row.*")
 
 
 def digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

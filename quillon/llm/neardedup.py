@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytesops as B
-from quillon.llm.common import cut, small_enough
+from quillon.llm.common import cut, small_enough, without
 from quillon.llm.components import components
 
 ROWS, BANDS = 6, 32
@@ -154,9 +154,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of smallest doc_id; columns as in docs."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("q_gone")).distinct()
-    return docs.join(small_enough(gone), F.col("doc_id") == F.col("q_gone"), "left_anti").select(*docs.columns)
+    """docs with one document of each group of near duplicates, that of smallest doc_id; columns as in docs.
+
+    Of rows that share a doc_id, all go if one isn't its group's.
+    """
+    return without(docs, near_duplicates(docs, percent).where("not kept").select("doc_id"))
 
 
 ORACLE = r"""

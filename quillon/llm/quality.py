@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytesops as B
-from quillon.llm.common import cut, small_enough
+from quillon.llm.common import cut, small_enough, without
 
 ORDER, A = 4, 64
 SPACE, UPPER, DIGIT, NEWLINE, REPEAT = 0, 27, 28, 29, 33
@@ -209,5 +209,4 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
     """docs without the doc_ids of which the classifier rejects a row; columns as in docs."""
-    gone = classify(docs, trusted, **how).where("not kept").select(F.col("doc_id").alias("q_gone")).distinct()
-    return docs.join(small_enough(gone), F.col("doc_id").eqNullSafe(F.col("q_gone")), "left_anti").select(*docs.columns)
+    return without(docs, classify(docs, trusted, **how).where("not kept").select("doc_id"))

@@ -153,7 +153,7 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for i, j in B.groups(offs, 1 << 19):
+    for i, j in B.groups(offs, PIECE // 8):
         if offs[j] - offs[i] <= PIECE:
             a, b, d, s, c = blocks(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
             yield a, b, d + i, s, c
@@ -323,9 +323,11 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
 
 
 def _by(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     k = key[order]
-    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     for s, e in zip(at, np.append(at[1:], len(k)), strict=True):
         yield int(k[s]), rows[order[s:e]]
 
