@@ -70,6 +70,17 @@ class Service:
 _calls = threading.local()
 
 
+def _wait(pause: float) -> None:
+    """Until pause seconds after this worker's last call."""
+    left = getattr(_calls, "last", -1e9) + pause - time.monotonic()
+    if left > 0:
+        time.sleep(left)
+
+
+def _called() -> None:
+    _calls.last = time.monotonic()
+
+
 def by_service(contents: DataFrame, service: Service) -> DataFrame:
     """Distinct contents (content) with ai_probability, flags, summary, status; store the result before using it, as calls cost.
 
@@ -79,11 +90,9 @@ def by_service(contents: DataFrame, service: Service) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                wait = getattr(_calls, "next", 0.0) - time.monotonic()
-                if wait > 0:
-                    time.sleep(wait)
+                _wait(service.pause)
                 text, wrong = service.ask(content[:PROMPT_CAP] + ("..." if len(content) > PROMPT_CAP else ""))
-                _calls.next = time.monotonic() + service.pause
+                _called()
                 yield pa.RecordBatch.from_arrays([pa.array([content]), pa.array([text], pa.string()), pa.array([wrong], pa.string())], names=["content", "reply", "wrong"])
 
     asked = contents.select("content").where("content is not null").distinct().mapInArrow(run, "content string, reply string, wrong string")
