@@ -38,7 +38,7 @@ def test_secrets(docs, texts):
 def test_battery_tells_keys_from_words(spark):
     r = np.random.default_rng(12)
     keys = ["".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40)) for _ in range(3)]
-    plain = ["thisisalongordinarywordofthetext", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization-of-the-thing", "2024-01-01-2024-01-01-2024"] * 5
+    plain = ["thisisalongordinarywordofthetext", "z" * 28, "internationalization-of-the-thing", "2024-01-01-2024-01-01-2024"] * 5
     text = [(i, f"so {t} it is") for i, t in enumerate(keys + plain)]
     got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(text, "doc_id bigint, text string")).collect()}
     for i, k in enumerate(keys):
