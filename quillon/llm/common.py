@@ -63,8 +63,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and text beside q_row, the whole row: whatever else docs' columns are called, they can't clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col("doc_id"), F.col("text"))
+    """q_row, the whole row, beside doc_id: whatever else docs' columns are called, they can't clash. The text is q_row.text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col("doc_id"))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0
 def _per_document(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     found = matches(docs, benchmark, size).groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms")).alias("q_found"))
     found = found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")
-    joined = packed(docs).withColumn("q_hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
-    joined = joined.withColumn("q_words", words(F.col("text")))
+    joined = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
+    joined = joined.withColumn("q_words", words(F.col("q_row.text")))
     return joined.withColumn("q_ok", F.expr("filter(q_found, c -> c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)"))
 
 

@@ -64,9 +64,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def mark_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """q_row (the row of docs), doc_id, text and q_drops, the compressed bitmap of dropped lines (null: none)."""
+    """q_row (the row of docs), doc_id and q_drops, the compressed bitmap of dropped lines (null: none)."""
     bits = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), F.col("drops").alias("q_drops"))
-    left = packed(docs).withColumn("q_hash", F.xxhash64("text"))
+    left = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text"))
     joined = left.join(bits, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left")
     return joined.drop("q_id", "q_th", "q_hash")
 
@@ -82,7 +82,7 @@ def _keep(text: Column, drops: Column) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with repeated lines taken out of text (n_chars follows, where it exists); all rows and columns stay."""
     out = mark_lines(docs, min_chars, min_docs)
-    text = F.when(F.col("q_drops").isNull(), F.col("text")).otherwise(_keep(F.col("text"), F.col("q_drops")))
+    text = F.when(F.col("q_drops").isNull(), F.col("q_row.text")).otherwise(_keep(F.col("q_row.text"), F.col("q_drops")))
     row = F.col("q_row").withField("text", F.col("q_text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length("q_text").cast(docs.schema["n_chars"].dataType))
@@ -92,7 +92,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 def digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and the compressed bitmap of dropped lines."""
     marked = mark_lines(docs.select("doc_id", "text"), min_chars, min_docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("q_row.text"), F.lit(""))
     kept = F.when(F.col("q_drops").isNull(), text).otherwise(_keep(text, F.col("q_drops")))
     dropped = F.aggregate(F.coalesce(F.map_values("q_drops"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b))
     return marked.select(
