@@ -66,7 +66,3 @@ def items(spark, texts):
     w = texts[9][1].split()
     rows = [(1, " ".join(w[3:18])), (2, "A"), (3, None), (4, ""), (5, "nothing of this kind"), (11, texts[40][1]), (11, texts[40][1])]
     return spark.createDataFrame(rows, "item_id bigint, text string")
-
-
-def rows(df, *cols):
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=str)

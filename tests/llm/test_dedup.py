@@ -1,7 +1,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import rows
+from brute import rows
 from pyspark.sql import functions as F
 
 from quillon.llm import components, linededup, neardedup, suffixdedup, vectordedup

@@ -1,6 +1,6 @@
 import brute
 import numpy as np
-from conftest import rows
+from brute import rows
 
 from quillon.llm import bytesops, decontamination, licenses, mixing, quality, secrets, toxicity
 
