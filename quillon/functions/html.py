@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import BODY_CAP, cap
 
-TABLE = r"(?is)(<table[^>]*>.*?</table>)"
-SECTION = r"(?is)(<div[^>]*class=[\"'](?:section|content|main|header|footer)[^\"']*[\"'][^>]*>.*?</div>)"
-LISTS = r"(?is)(<ul[^>]*>.*?</ul>|<ol[^>]*>.*?</ol>)"
+AREAS = ("content", "footer", "header", "main", "section")
+
+
+def element(tag: str, attributes: str = "") -> str:
+    """Pattern of an element up to its first closing tag."""
+    return f"<{tag}[^>]*{attributes}>.*?</{tag}>"
+
+
+def area(quote: str) -> str:
+    """Pattern of an opening tag's rest whose class begins with the name of an area; quote: a class of quotes."""
+    return f"class=[{quote}](?:{'|'.join(AREAS)})[^{quote}]*[{quote}][^>]*"
+
+
+TABLE = f"(?is)({element('table')})"
+SECTION = f"(?is)({element('div', area(chr(34) + chr(39)))})"
+LISTS = f"(?is)({element('ul')}|{element('ol')})"
 KINDS = (("table", "table", TABLE), ("div_section", "section", SECTION), ("list", "list", LISTS))
 
 #: the six flags that carry weight come first

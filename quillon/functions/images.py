@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATA_URI = r"(?i)data:image/[^;]+;base64,([A-Za-z0-9+/=\s]+)"
+DATA_URI = r"(?i)data:image/[^;]+;base64,([\s=/+0-9a-zA-Z]+)"
 
 
 def data_uri_images(html: Column) -> Column:

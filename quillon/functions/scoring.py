@@ -11,15 +11,8 @@ from quillon.functions.numeric import let, round_exact
 from quillon.functions.text import strip
 
 #: signal: weight; the order is that of the sum
-WEIGHTS = {
-    "llm_score": 0.35,
-    "template_variable": 0.20,
-    "repeating_pattern": 0.15,
-    "suspicious_comments": 0.10,
-    "deep_nesting": 0.05,
-    "duplicated_styles": 0.05,
-    "empty_cell": 0.10,
-}
+SIGNALS = ("llm_score", "template_variable", "repeating_pattern", "suspicious_comments", "deep_nesting", "duplicated_styles", "empty_cell")
+WEIGHTS = dict(zip(SIGNALS, (0.35, 0.20, 0.15, 0.10, 0.05, 0.05, 0.10), strict=True))
 FLAG_OF = {
     "template_variable": "TEMPLATE_VARIABLE",
     "repeating_pattern": "REPETITIVE_PATTERN",
@@ -156,9 +149,9 @@ def mail_explanation(b: dict[str, Column]) -> Column:
     )
 
 
-CRITICAL = ("phishing", "scam", "spam")
-STRONG = ("aggressive advertising", "aggressive_advertising", "suspicious call to action", "suspicious calls to action", "suspicious_call_to_action")
-MEDIUM = ("urgent language", "urgent_language")
+CRITICAL = ("spam", "scam", "phishing")
+STRONG = ("suspicious_call_to_action", "suspicious calls to action", "suspicious call to action", "aggressive_advertising", "aggressive advertising")
+MEDIUM = ("urgent_language", "urgent language")
 
 
 def ocr_risk(probability: Column, flags: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scoring as S
-from quillon.functions.html import FLAGS, body_cap
+from quillon.functions.html import FLAGS, area, body_cap, element
 from quillon.functions.images import data_uri_images
 from quillon.functions.numeric import round_exact_sql
 from quillon.functions.reply import parse_reply
@@ -44,11 +44,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- the views in SQL
 
 _MAIL = f"mail AS (SELECT doc_id, {MAIL} AS html FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents))"
-_SECTION = r"""(<div[^>]*class=["''](?:section|content|main|header|footer)[^"'']*["''][^>]*>.*?</div>)"""
+_TABLE, _SECTION, _LISTS = f"({element('table')})", f"({element('div', area(chr(34) + 2 * chr(39)))})", f"({element('ul')}|{element('ol')})"
 _BLOCKS = rf"""{_MAIL},
 capped AS (SELECT doc_id, CASE WHEN length(html) > 25000 THEN substring(html, 1, 25000) || '...' ELSE html END AS h FROM mail),
-parts AS (SELECT doc_id, h, regexp_extract_all(h, '(<table[^>]*>.*?</table>)', 1, 'si') AS t, regexp_extract_all(h, '{_SECTION}', 1, 'si') AS d,
-  regexp_extract_all(h, '(<ul[^>]*>.*?</ul>|<ol[^>]*>.*?</ol>)', 1, 'si') AS l FROM capped),
+parts AS (SELECT doc_id, h, regexp_extract_all(h, '{_TABLE}', 1, 'si') AS t, regexp_extract_all(h, '{_SECTION}', 1, 'si') AS d,
+  regexp_extract_all(h, '{_LISTS}', 1, 'si') AS l FROM capped),
 blocks AS (
   SELECT doc_id, i - 1 AS block_idx, 'table' AS type, t[i] AS content, 'table_' || (i - 1) AS position FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM parts)
   UNION ALL SELECT doc_id, len(t) + i - 1, 'div_section', d[i], 'section_' || (i - 1) FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM parts)
@@ -111,8 +111,8 @@ fin AS (SELECT *, greatest(0e0, least(1e0, h * wh + o * wo)) AS f FROM bl)"""
 # --- blocks
 
 
-@query(r"""SELECT page_id, i - 1 AS block_idx, md5(l[i]) AS md5, length(l[i]) AS n FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
-  SELECT page_id, regexp_extract_all(CASE WHEN length(html) > 25000 THEN substring(html, 1, 25000) || '...' ELSE html END, '(<ul[^>]*>.*?</ul>|<ol[^>]*>.*?</ol>)', 1, 'si') AS l FROM pages))""")
+@query(f"""SELECT page_id, i - 1 AS block_idx, md5(l[i]) AS md5, length(l[i]) AS n FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT page_id, regexp_extract_all(CASE WHEN length(html) > 25000 THEN substring(html, 1, 25000) || '...' ELSE html END, '{_LISTS}', 1, 'si') AS l FROM pages))""")
 def split_lists_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = M.blocks(table(spark, sf_dir, "pages"), "page_id").where("type = 'list'")
     return b.select("page_id", F.regexp_extract("position", r"(\d+)", 1).cast("int").alias("block_idx"), F.md5("content").alias("md5"), F.char_length("content").alias("n"))

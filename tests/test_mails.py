@@ -34,10 +34,12 @@ BODIES = [
     "<ul>" + "x" * 26000 + "</ul>",
     None,
 ]
+TAG = "<{0}[^>]*{1}>.*?</{0}>"
+CLASS = """class=["'](?:main|header|content|section|footer)[^"']*["'][^>]*"""
 PATTERNS = [
-    ("table", "table", r"(<table[^>]*>.*?</table>)"),
-    ("div_section", "section", r"(<div[^>]*class=[\"'](?:section|content|main|header|footer)[^\"']*[\"'][^>]*>.*?</div>)"),
-    ("list", "list", r"(<ul[^>]*>.*?</ul>|<ol[^>]*>.*?</ol>)"),
+    ("table", "table", TAG.format("table", "")),
+    ("div_section", "section", TAG.format("div", CLASS)),
+    ("list", "list", TAG.format("ul", "") + "|" + TAG.format("ol", "")),
 ]
 
 
