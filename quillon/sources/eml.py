@@ -32,21 +32,20 @@ def repair(header: str) -> str:
 
 
 def _body(msg) -> str:
-    try:
-        html = None
-        if msg.is_multipart():
-            html = next((p for p in msg.walk() if p.get_content_type() == "text/html"), None)
-        elif msg.get_content_type() == "text/html":
-            html = msg
-        text = html.get_content() if html is not None else ""
-    except Exception:
-        raise
+    html = None
+    if msg.is_multipart():
+        html = next((p for p in msg.walk() if p.get_content_type() == "text/html"), None)
+    elif msg.get_content_type() == "text/html":
+        html = msg
+    text = html.get_content() if html is not None else ""
     if text:
         return text
     try:
-        return msg.get_body(preferencelist=("plain",)).get_content()
+        best = msg.get_body(("plain",))
+        text = best.get_content()
     except Exception:
-        return ""
+        text = ""
+    return text
 
 
 def _images(msg) -> list[dict]:

@@ -49,7 +49,7 @@ class Service:
     timeout: float = 180.0
     pause: float = 2.0
     detail: int = 50
-    options: dict = field(default_factory=lambda: {"temperature": 0.1, "top_p": 0.8})
+    options: dict = field(default_factory=lambda: dict(top_p=0.8, temperature=0.1))
 
     def ask(self, text: str) -> tuple[str | None, str | None]:
         """The answer's text, or what went wrong."""

@@ -22,7 +22,7 @@ def write_full_report(entries: DataFrame, path: str, key: str = "file") -> int:
     """One indented JSON array, ordered by key, replacing the last one; rows are streamed. No rows: nothing is written. The number of mails."""
     rows = entries.orderBy(key).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
     n, part = 0, f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
+    with open(part, mode="w", encoding="utf8") as f:
         for r in rows:
             f.write(("[\n" if not n else ",\n") + json.dumps(json.loads(r["j"]), indent=2, ensure_ascii=False))
             n += 1

@@ -143,7 +143,7 @@ def test_analysis_and_report(spark, folder, tmp_path):
     a, d = entries[0]["analysis"], entries[2]["analysis"]
     assert entries[0]["email"] == {"subject": "Тема", "sender": "a@b.example"}
     assert a["global_flags"] == ["TEMPLATE_VARIABLE", "EMPTY_CELL"] and a["html_ai_score"] == 30.0
-    assert a["ocr"] == {"images_count": 1, "text": [{"source": "data_uri_0", "text": "text of ABCD", "has_text": True}], "ai_score": 90.0, "flags": [], "summary": ""}
+    assert a["ocr"] == {"images_count": 1, "text": [{"source": "data_uri_0", "text": "text of ABCD", "has_text": True}], "summary": "", "flags": [], "ai_score": 90.0}
     assert a["global_ai_score"] == 60.0 and a["engine"]["signals"]["html_weight"] == 0.5
     assert d["blocks"][0]["position"] == "full_text" and d["engine"]["signals"]["ocr_weight"] == 0.7 and d["global_ai_score"] == 63.0
     assert entries[1]["analysis"]["ocr"]["images_count"] == 0 and entries[1]["analysis"]["global_ai_score"] == 0.0
