@@ -53,7 +53,7 @@ class Service:
 
     def ask(self, text: str) -> tuple[str | None, str | None]:
         """The answer's text, or what went wrong."""
-        body = {"model": self.model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": f"{self.question}\n\n{text}"}], **self.options}
+        body = {"model": self.model, "messages": [dict(role=r, content=c) for r, c in (("system", self.system), ("user", f"{self.question}\n\n{text}"))], **self.options}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
