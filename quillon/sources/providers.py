@@ -60,7 +60,8 @@ class Service:
                 if r.status != 200:
                     return None, f"HTTP {r.status}"
                 answer = json.load(r)
-            return (answer["choices"][0]["message"]["content"], None) if "choices" in answer else (None, PARSE_ERROR)
+            first = answer["choices"][0] if "choices" in answer else None
+            return (None, PARSE_ERROR) if first is None else (first["message"].get("content"), None)
         except urllib.error.HTTPError as e:
             return None, f"HTTP {e.code}"
         except Exception as e:
