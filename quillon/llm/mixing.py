@@ -4,9 +4,10 @@ Each source owns a share of the schedule. Its documents, in a pseudo-random but
 order, are cut into blocks of equal size; block k of a source of weight w may start at
 slot floor(k/w) and must be placed before slot ceil((k+1)/w). Earliest deadline first
 among the released blocks keeps every source less than one block away from its weight
-after each slot. Weights are whole numbers of slots of a cycle, so the schedule repeats:
-one cycle, whose length is a parameter, is laid out in a single SQL expression, and a
-document's slot follows from its rank in its source by arithmetic.
+after each slot. Weights are ratios of whole numbers, and all comparisons are made in
+whole numbers. As many slots are laid out as it takes to place every block, or one
+period of the weights where that is shorter: a single SQL expression lays out one cycle
+after the other and carries the blocks placed so far from each to the next.
 
 Ranks are taken without sorting a source in one task: documents are counted by source and
 range of the order's hash, running totals over those counts give each range its offset,
@@ -21,31 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.llm.common import cut, small_enough
+
 #: Documents that share a hash range, about.
 RANGE_ROWS = 4096
 
 
+#: Products of slots and weights stay below this, hence within a bigint.
+MOST = 4e18
+
+
 def plan(sources: DataFrame, cycle: int = 1000) -> DataFrame:
-    """sources (source, target: relative weight, at most cycle rows) to one row per slot of a cycle: source, q, i, slot.
+    """sources (source, target: relative weight; blocks, if there) to one row per slot laid out: source, q, weight, total, cycle, slot, i.
 
-    q is the number of slots of the source (at least 1, largest remainders rounded), i its i-th.
+    Without blocks, one cycle is laid out; else, cycle by cycle, as many slots as place all blocks of all sources,
+    or one period of the weights if that is less. cycle is the number of slots laid out, q those of the source among
+    them, i its i-th. weight / total is the source's share in whole numbers: the targets themselves if they are whole,
+    else rounded to 10^-15 or as finely as the number of slots lets a bigint hold.
     """
-    w = W.orderBy(F.lit(1))
-    share = sources.where(F.col("target") > 0).select("source", "target", F.sum("target").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"), F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    size = F.greatest(F.lit(cycle), F.col("n") * 2)
-    exact = share.select("source", "n", size.alias("c"), (F.col("target") / F.col("total") * (size - F.col("n"))).alias("x"))
-    ranked = exact.select("source", "c", F.floor("x").alias("f"), F.row_number().over(W.orderBy((F.col("x") - F.floor("x")).desc(), "source")).alias("r"), (F.col("c") - F.col("n") - F.sum(F.floor("x")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("rest"))
-    quota = ranked.select("source", "c", (F.col("f") + 1 + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0)).alias("q"))
-    tasks = quota.agg(F.max("c").alias("c"), F.sort_array(F.collect_list(F.struct("source", "q"))).alias("s")).where("size(s) > 0")
+    w = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    blocks = F.col("blocks") if "blocks" in sources.columns else F.lit(None)
+    share = sources.where(F.col("target") > 0).select("source", "target", blocks.cast("double").alias("b"), F.sum("target").over(w).alias("sum"))
+    share = share.withColumn("most", F.greatest(F.max(F.col("b") * F.col("sum") / F.col("target")).over(w), F.lit(float(cycle))) + 2)
+    whole = F.min(F.col("target") == F.floor("target")).over(w) & (F.col("sum") * F.col("most") < MOST)
+    scale = F.pow(F.lit(10.0), F.least(F.lit(15.0), F.floor(F.log10(MOST / F.col("most")))))
+    weights = share.select("source", F.col("b").cast("long").alias("b"), F.when(whole, F.col("target")).otherwise(F.greatest(F.round(F.col("target") / F.col("sum") * scale), F.lit(1.0))).cast("long").alias("w"))
+    tasks = weights.agg(F.sort_array(F.collect_list(F.struct("source", "w", "b"))).alias("s")).where("size(s) > 0")
+    gcd = "aggregate(s, 0L, (g, x) -> aggregate(sequence(1, 100), struct(g AS a, x.w AS b), (p, i) -> if(p.b = 0, p, struct(p.b AS a, p.a % p.b AS b))).a)"
+    tasks = tasks.withColumn("g", F.expr(gcd)).select(F.expr("transform(s, x -> struct(x.source AS source, x.w div g AS w, x.b AS b))").alias("s"))
+    tasks = tasks.withColumn("total", F.expr("aggregate(s, 0L, (a, x) -> a + x.w)"))
+    need = F.expr("array_max(transform(s, x -> (x.b * total + x.w - 1) div x.w))")
+    tasks = tasks.withColumn("c", F.when(need.isNotNull(), F.least(need, F.col("total"))).otherwise(F.lit(cycle).cast("long")))
     # The state holds, by source, the blocks placed so far, and the order of sources by slot.
-    # At slot t, block k of q in c is released if k * c <= t * q; its deadline is ceil((k + 1) * c / q).
-    one = F.expr("""
-      aggregate(sequence(0, int(c) - 1), struct(transform(s, x -> 0L) AS k, cast(array() AS array<int>) AS o), (a, t) ->
+    # At slot t, block k is released if k * total <= t * w (+ less than w, for the floor); its deadline is ceil((k + 1) * total / w).
+    step = """
         transform(array(array_min(filter(transform(s, (x, j) -> struct(
-            if(a.k[j] * c <= t * x.q, 0, 1) AS early, ((a.k[j] + 1) * c + x.q - 1) div x.q AS due, j AS j)), z -> z.early = 0))),
-          b -> struct(transform(a.k, (v, j) -> if(j = b.j, v + 1, v)) AS k, concat(a.o, array(b.j)) AS o))[0]).o""")
-    slots = tasks.select("s", "c", F.posexplode(one).alias("slot", "j"))
-    return slots.select(F.expr("s[j].source").alias("source"), F.expr("s[j].q").alias("q"), F.col("c").cast("long").alias("cycle"), F.col("slot").cast("long").alias("slot")).withColumn("i", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
+            if(a.k[j] * total <= t * x.w, 0, 1) AS early, ((a.k[j] + 1) * total + x.w - 1) div x.w AS due, j AS j)), z -> z.early = 0))),
+          b -> struct(transform(a.k, (v, j) -> if(j = b.j, v + 1, v)) AS k, concat(a.o, array(b.j)) AS o))[0]"""
+    every = F.expr(f"""
+      aggregate(sequence(0L, (c - 1) div {int(cycle)}), struct(transform(s, x -> 0L) AS k, cast(array() AS array<array<int>>) AS o), (done, n) ->
+        transform(array(aggregate(sequence(n * {int(cycle)}, least((n + 1) * {int(cycle)}, c) - 1), struct(done.k AS k, cast(array() AS array<int>) AS o), (a, t) -> {step})),
+          y -> struct(y.k AS k, concat(done.o, array(y.o)) AS o))[0]).o""")
+    slots = tasks.select("s", "total", "c", F.posexplode(every).alias("n", "o")).select("s", "total", "c", "n", F.posexplode("o").alias("at", "j"))
+    own = slots.select(F.expr("s[j].source").alias("source"), F.expr("s[j].w").alias("weight"), "total", F.col("c").alias("cycle"), F.expr(f"n * {int(cycle)}L + at").alias("slot"))
+    by = W.partitionBy("source")
+    return own.withColumn("q", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy("slot")) - 1)
+
+
+def quotas(docs: DataFrame, cycle: int = 1000, power: float = 0.5) -> DataFrame:
+    """(source, target): the size of a source to the given power, rounded to whole slots of a cycle, at least 1 each.
+
+    These are targets of their own, off the exact ones by up to a slot a cycle, more for hot sources among many.
+    """
+    w = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    share = docs.groupBy("source").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("target")).select("source", "target", F.sum("target").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
+    size = F.greatest(F.lit(cycle), F.col("n") * 2)
+    exact = share.select("source", (size - F.col("n")).alias("free"), (F.col("target") / F.col("total") * (size - F.col("n"))).alias("x"))
+    ranked = exact.select("source", F.floor("x").alias("f"), F.row_number().over(W.orderBy((F.col("x") - F.floor("x")).desc(), "source")).alias("r"), (F.col("free") - F.sum(F.floor("x")).over(w)).alias("rest"))
+    return ranked.select("source", (F.col("f") + 1 + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0)).alias("target"))
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle: int = 1000, power: float = 0.5) -> DataFrame:
@@ -69,21 +103,22 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle
         targets = counts.select("source", F.pow(F.col("n").cast("double"), F.lit(power)).alias("target"))
     else:
         targets = targets.groupBy("source").agg(F.sum("target").cast("double").alias("target"))
-    slots = plan(targets, cycle)
-    quota = slots.groupBy("source").agg(F.max("q").alias("q"), F.max("cycle").alias("c"), F.transform(F.sort_array(F.collect_list(F.struct("i", "slot"))), lambda x: x["slot"]).alias("at"))
-    # quota holds one row per source and cycle slots in all
-    quota = quota.select(F.col("source").alias("q_source"), "q", "c", "at")
-    j = ranked.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("q_source")), "left")
-    k = F.expr(f"rank div {int(block)}")
-    j = j.withColumn("block", k)
+    sizes = counts.select(F.col("source").alias("n_source"), F.expr(f"(n + {int(block) - 1}) div {int(block)}").alias("blocks"))
+    sized = targets.join(sizes, F.col("source").eqNullSafe(F.col("n_source")), "left").select("source", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    slots = cut(plan(sized, cycle))
+    # one row per source
+    quota = small_enough(slots.groupBy(F.col("source").alias("q_source")).agg(F.max("q").alias("q"), F.max("weight").alias("weight"), F.max("total").alias("total"), F.max("cycle").alias("c")))
+    at = small_enough(slots.select(F.col("source").alias("a_source"), F.col("i").cast("long").alias("a_i"), F.col("slot").alias("a_slot")))
+    j = ranked.withColumn("block", F.expr(f"rank div {int(block)}")).join(quota, F.col("source").eqNullSafe(F.col("q_source")), "left")
+    j = j.join(at, F.col("source").eqNullSafe(F.col("a_source")) & (F.expr("block % q") == F.col("a_i")), "left")
     return j.select(
         "doc_id",
         "source",
         "rank",
         "block",
-        F.expr("(block * c) div q").alias("release"),
-        F.expr("((block + 1) * c + q - 1) div q").alias("deadline"),
-        F.expr("(block div q) * c + at[int(block % q)]").alias("slot"),
+        F.expr("(block * total) div weight").alias("release"),
+        F.expr("((block + 1) * total + weight - 1) div weight").alias("deadline"),
+        F.expr("(block div q) * c + a_slot").alias("slot"),
         F.expr(f"rank % {int(block)}").alias("place"),
     )
 

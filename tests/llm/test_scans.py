@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import brute
 import numpy as np
 from brute import rows
@@ -218,6 +221,25 @@ def test_mixing(docs, texts, odd, empty):
     assert {r.source for r in some.collect() if r.slot is None} == {"s2"}
 
 
+def test_mixing_follows_the_targets_themselves(spark):
+    """A hot source among hundreds, over many cycles, and a source that gets less than a slot a cycle."""
+    s = [("hot", 100.0, 60)] + [(f"s{i:03d}", 10.0 if i else 0.7, 6) for i in range(120)]
+    p = mixing.plan(spark.createDataFrame(s, "source string, target double, blocks bigint"), 100).orderBy("slot").collect()
+    target = {x: t / sum(y[1] for y in s) for x, t, _ in s}
+    assert [r.slot for r in p] == list(range(len(p))) and len(p) > 20 * 100
+    done = dict.fromkeys(target, 0)
+    for t, r in enumerate(p, 1):
+        done[r.source] += 1
+        assert abs(done[r.source] - t * target[r.source]) < 1 + 1e-6
+    assert all(done[x] >= b for x, _, b in s)
+    docs = spark.range(1000).selectExpr("id as doc_id", "if(id < 900, 'hot', concat('s', id % 50)) as source")
+    got = mixing.mix(docs, block=2, cycle=60).collect()
+    w = {x: math.sqrt(n) for x, n in Counter(r.source for r in got).items()}
+    for r in got:
+        share = w[r.source] / sum(w.values())
+        assert r.release <= r.slot < r.deadline and abs(r.release - math.floor(r.block / share)) <= 1 and abs(r.deadline - math.ceil((r.block + 1) / share)) <= 1
+
+
 def test_groups_cover_all_texts():
     offs = np.array([0, 10, 10, 5000, 5001, 9000])
     got = list(bytesops.groups(offs, 100))
