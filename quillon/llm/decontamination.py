@@ -4,8 +4,9 @@ A benchmark item is cut into windows of consecutive words. The corpus is indexed
 word: a first pass counts how often each benchmark word occurs, and each window then asks
 for its rarest words only. Their postings (word, document, position) are stored in the
 shared folder, every list is shifted by the word's offset in the window, and the shifted
-lists are intersected by window, document and start. What is left is confirmed word by
-word on the document itself, which then reports its covered words.
+lists are intersected by window, document and start. For loose matches the unshifted
+lists are intersected by window, document and overlapping stretches of it. What is left
+is confirmed word by word on the document itself, which then reports its covered words.
 
 The benchmark doesn't grow with the corpus; its words are broadcast after a check of their
 number and joined by shuffle beyond that. Postings are spread by document, so that a word
@@ -14,7 +15,7 @@ that every document holds is no hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,7 +35,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def rarest(docs: DataFrame, wins: DataFrame, lists: int = 2) -> DataFrame:
-    """wid, term, offset, need: for each window the words (and first offset each) that occur least in docs."""
+    """wid, term, offset, need, r (from 1): for each window the words (and first offset each) that occur least in docs."""
     vocabulary = wins.select(F.explode("terms").alias("term")).distinct()
     df = tokens(docs).join(small_enough(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     at = wins.select("wid", F.posexplode("terms").alias("offset", "term")).groupBy("wid", "term").agg(F.min("offset").alias("offset"))
@@ -42,35 +43,57 @@ def rarest(docs: DataFrame, wins: DataFrame, lists: int = 2) -> DataFrame:
     ranked = at.join(df, "term", "left").withColumn("r", F.row_number().over(W.partitionBy("wid").orderBy(F.coalesce("df", F.lit(0)), "term")))
     chosen = ranked.where(F.col("r") <= lists)
     alive = chosen.groupBy("wid").agg(F.count(F.lit(1)).alias("need"), F.min(F.coalesce("df", F.lit(0))).alias("least")).where("least > 0")
-    return chosen.join(alive, "wid").select("wid", "term", "offset", "need")
+    return chosen.join(alive, "wid").select("wid", "term", "offset", "need", "r")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, lists: int = 2) -> DataFrame:
-    """doc_id, th, item_id, win, start, terms: candidates whose rarest words stand as in the window, give or take slop words."""
+def _index(docs: DataFrame, benchmark: DataFrame, size: int, lists: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows (item_id, win, terms, wid), the rarest words of each (see rarest), and the postings of these words (term, doc_id, th, pos)."""
     wins = cut(windows(benchmark, size).select("item_id", "win", "terms", F.xxhash64("terms").alias("wid")))
-    unique = wins.select("wid", "terms").distinct()
-    anchors = cut(rarest(docs, unique, lists))
+    anchors = cut(rarest(docs, wins.select("wid", "terms").distinct(), lists))
     postings = tokens(docs).join(small_enough(anchors.select("term").distinct()), "term")
-    postings = cut(postings.select("term", "doc_id", "th", "pos"))
-    shifted = postings.join(small_enough(anchors), "term").select("wid", "doc_id", "th", (F.col("pos") - F.col("offset")).alias("start"), "need", "term")
-    if slop:
-        # Lists meet if their starts fall in one of two overlapping bins of twice the slop, and within it.
-        shifted = shifted.withColumn("bin", F.explode(F.array(F.expr(f"(start + {slop}) div {2 * slop} * 2"), F.expr(f"start div {2 * slop} * 2 + 1"))))
-        key = ["wid", "doc_id", "th", "bin"]
-    else:
-        key = ["wid", "doc_id", "th", "start"]
-    both = shifted.groupBy(*key).agg(F.count_distinct("term").alias("n") if slop else F.count(F.lit(1)).alias("n"), F.max("need").alias("need"), *([F.min("start").alias("start"), F.max("start").alias("stop")] if slop else []))
+    return wins, anchors, cut(postings.select("term", "doc_id", "th", "pos"))
+
+
+def _exact(wins: DataFrame, anchors: DataFrame, postings: DataFrame) -> DataFrame:
+    """doc_id, th, item_id, start, terms: candidates whose rarest words stand as in the window."""
+    shifted = postings.join(small_enough(anchors), "term").select("wid", "doc_id", "th", (F.col("pos") - F.col("offset")).alias("start"), "need")
+    both = shifted.groupBy("wid", "doc_id", "th", "start").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
     # the same document twice gives the same posting twice, hence >=
     met = both.where(F.col("n") >= F.col("need")).select("wid", "doc_id", "th", "start").distinct()
     return met.join(small_enough(wins), "wid").select("doc_id", "th", "item_id", "win", "start", "terms")
 
 
-def _per_document(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    found = matches(docs, benchmark, size).groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms")).alias("q_found"))
+def _near(wins: DataFrame, anchors: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """doc_id, th, item_id, win, start, terms, span: candidates that hold the rarest words of a window between start and start + 2 * span.
+
+    span is the number of words of the window and twice the slop. Bins are two spans long and start at every span, so
+    each stretch of span words lies in one of them as a whole, wherever in it the words stand.
+    """
+    spans = wins.select("wid", (F.size("terms") + 2 * slop).alias("span")).distinct()
+    placed = postings.join(small_enough(anchors.join(spans, "wid").select("wid", "term", "need", "span", F.expr("shiftleft(1, r - 1)").alias("bit"))), "term")
+    binned = placed.withColumn("bin", F.explode(F.expr("array(pos div span, pos div span - 1)"))).where("bin >= 0")
+    both = binned.groupBy("wid", "doc_id", "th", "bin").agg(F.bit_count(F.bit_or("bit")).alias("n"), F.max("need").alias("need"), F.max("span").alias("span"))
+    met = both.where(F.col("n") >= F.col("need"))
+    return met.join(small_enough(wins), "wid").select("doc_id", "th", "item_id", "win", (F.col("bin") * F.col("span")).cast("int").alias("start"), "terms", "span")
+
+
+#: Starts of the stretches of c.span words, from c.start on, that hold all words of the candidate c.
+_NEAR_STARTS = """if(size(array_except(c.terms, slice(q_words, c.start + 1, 2 * c.span))) > 0, array(),
+    filter(sequence(c.start, c.start + c.span - 1), p -> size(array_except(c.terms, slice(q_words, p + 1, c.span))) = 0))"""
+
+
+def _per_document(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | None = None) -> DataFrame:
+    """q_row, doc_id, q_words and the confirmed candidates: q_ok, exact ones, and q_near, those within slop, where it is given."""
+    index = _index(docs, benchmark, size)
+    found = _exact(*index).withColumn("span", F.lit(None).cast("int"))
+    if slop is not None:
+        found = found.unionByName(_near(*index, slop))
+    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms", "span")).alias("q_found"))
     found = found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")
     joined = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
     joined = joined.withColumn("q_words", words(F.col("q_row.text")))
-    return joined.withColumn("q_ok", F.expr("filter(q_found, c -> c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)"))
+    joined = joined.withColumn("q_ok", F.expr("filter(q_found, c -> c.span is null and c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)"))
+    return joined if slop is None else joined.withColumn("q_near", F.expr(f"filter(q_found, c -> c.span is not null and size({_NEAR_STARTS}) > 0)"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -80,31 +103,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id, item_id, win, start: places where all words of a window stand within size + 2 * slop words, in any order."""
-    found = matches(docs, benchmark, size, slop).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "item_id", "win", "start", "terms")
+    """doc_id, item_id, win, start: places where all words of a window stand within its length + 2 * slop words, in any order.
+
+    Repeated words of a window count once. start is the first of each run of such places in a bin of two such lengths.
+    """
+    found = _near(*_index(docs, benchmark, size), slop).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), F.struct("item_id", "win", "start", "terms", "span").alias("c"))
     base = docs.select("doc_id", F.xxhash64("text").alias("q_hash"), words(F.col("text")).alias("q_words"))
     j = base.join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")))
-    span = F.expr(f"slice(q_words, greatest(start - {slop} + 1, 1), size(terms) + {2 * slop})")
-    return j.where(F.size(F.array_except("terms", span)) == 0).select("doc_id", "item_id", "win", "start").distinct()
+    return j.select("doc_id", "c.item_id", "c.win", F.expr(f"array_min({_NEAR_STARTS})").alias("start")).where("start is not null").distinct()
 
 
-def digest(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; a null text has no words.
-
-    Repeated rows of docs give repeated rows; an empty benchmark hits nothing; items of fewer words than a window are one window.
-    """
-    marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size)
+def _digest() -> list[Column]:
     covered = F.expr("array_distinct(flatten(transform(q_ok, c -> sequence(c.start, c.start + size(c.terms) - 1))))")
     items = F.expr("array_sort(array_distinct(transform(q_ok, c -> cast(c.item_id as string))))")
     n_hit = F.when(F.col("q_ok").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")
-    return marked.select(
-        "doc_id",
+    return [
+        F.col("doc_id"),
         F.size("q_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.when(F.col("q_ok").isNull(), F.lit(0)).otherwise(F.size(items)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join(items, ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-    )
+    ]
+
+
+def digest(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; a null text has no words.
+
+    Repeated rows of docs give repeated rows; an empty benchmark hits nothing; items of fewer words than a window are one window.
+    """
+    marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size)
+    return marked.select(*_digest())
+
+
+def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
+    """digest's columns, and n_near and near_items (comma-separated): the items of which all words of a window stand together as in proximity()."""
+    marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size, slop)
+    items = F.coalesce(F.expr("array_sort(array_distinct(transform(q_near, c -> cast(c.item_id as string))))"), F.array().cast("array<string>"))
+    return marked.select(*_digest(), F.size(items).cast("long").alias("n_near"), F.array_join(items, ",").alias("near_items"))
 
 
 ORACLE = r"""

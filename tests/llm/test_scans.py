@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import brute
@@ -28,6 +29,38 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontamination.proximity(d, b, slop=2).collect()} == {1}
 
 
+def test_proximity_against_all_stretches(spark):
+    r = random.Random(5)
+    w = [f"w{i}" for i in range(10)]
+    common = lambda n: [r.choice(["w0", "w3", "w7", "q", "z"]) for _ in range(n)]
+    texts = [w[::-1], [x for i in range(0, 10, 9) for x in [*w[i : i + 9], "foreign"]], [x for y in w for x in (y, "x")], [x for y in w for x in (y, "x", "x")]]
+    for _ in range(60):
+        x = r.sample(w, 10)
+        for _ in range(r.randint(0, 14)):
+            x.insert(r.randint(1, len(x) - 1), r.choice(["q", "z", "w3"]))
+        texts.append(common(r.randint(0, 45)) + x + common(r.randint(0, 30)))
+    items = {1: " ".join(w), 2: "w3 q z", 3: "w9"}
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in items.items():
+            span = len(x.split()) + 10
+            if any(set(x.split()) <= set(t[p : p + span]) for p in range(len(t))):
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(0, 1), (1, 1), (2, 1)} <= want and (3, 1) not in want
+    got = decontamination.proximity(docs, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    for x in got:
+        q = items[x.item_id].split()
+        assert set(q) <= set(texts[x.doc_id][x.start : x.start + len(q) + 10])
+    full = decontamination.report(docs, bench)
+    assert rows(full.drop("n_near", "near_items")) == rows(decontamination.digest(docs, bench))
+    full = full.collect()
+    assert len(full) == len(texts) + 2 and all(x.n_near == len(list(filter(None, x.near_items.split(",")))) for x in full)
+    assert {(x.doc_id, int(i)) for x in full for i in x.near_items.split(",") if i} == want
+
+
 def test_secrets(docs, texts):
     got = {r.doc_id: r for r in secrets.digest(docs).collect()}
     for d, t in texts:
