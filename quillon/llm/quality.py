@@ -3,10 +3,11 @@
 Text is read as symbols of a folded alphabet of 64: letters, upper case, digits, marks and halves of
 other code points; a word that repeats the one before it is one symbol of its own, since running
 repetition is what distinguishes filler. The model is of order 4, hence never has more than 64^4
-entries, and its counts are taken over all trusted text: every task counts its own shard of text,
-the shards' counts are joined by n-gram and summed, and the summed counts give discounts and
-continuation counts per order. The probabilities, whose size is bounded by the alphabet, go to
-the workers, and one pass scores every document. Thresholds are quantiles per language and length
+entries, however much text it is trained on, and sees no further back than three symbols. Its counts
+are taken over all trusted text: every task counts its own text, the tasks' counts are summed by
+n-gram, and the sums go to the driver, where they give discounts and continuation counts per order.
+The dense table of probabilities is broadcast and indexed; n-grams aren't joined to counts. One
+pass scores every document. Thresholds are quantiles per language and length
 over all trusted documents.
 """
 
@@ -24,7 +25,6 @@ from quillon.llm.common import cut, small_enough, without
 
 ORDER, A = 4, 64
 SPACE, UPPER, DIGIT, NEWLINE, REPEAT = 0, 27, 28, 29, 33
-SHARDS = 64
 
 
 def _alphabet() -> np.ndarray:
