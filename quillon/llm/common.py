@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +41,16 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset, and never on a cluster."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-checkpoint-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        where = tempfile.mkdtemp(prefix="quillon-checkpoint-")
     sc.setCheckpointDir(where)
     return where
 
@@ -55,9 +61,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder: written once, then read by several later jobs."""
-    where = f"{ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the cluster's shared folder, gone afterwards: what comes of its tables must be cut before."""
+    where = f"{ensure_checkpoint_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    try:
+        yield where
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """A table in the cluster's shared folder, or in a scratch folder there: written once, then read by several later jobs."""
+    where = f"{folder or ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
@@ -68,6 +85,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone (one column); columns as in docs. Rows with a null doc_id stay."""
-    ids = gone.toDF("q_gone").distinct()
-    return packed(docs).join(small_enough(ids), F.col("doc_id") == F.col("q_gone"), "left_anti").select("q_row.*")
+    """docs without the rows in gone (doc_id and th, the xxhash64 of the text); columns as in docs. Rows with a null doc_id stay."""
+    rows = gone.select(F.col("doc_id").alias("q_gone"), F.col("th").alias("q_th")).where("q_gone is not null").distinct()
+    here = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text"))
+    return here.join(small_enough(rows), (F.col("doc_id") == F.col("q_gone")) & (F.col("q_hash") == F.col("q_th")), "left_anti").select("q_row.*")

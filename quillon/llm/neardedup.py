@@ -83,8 +83,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             lists = pa.compute.if_else(pa.array(full), lists, pa.scalar(None, lists.type))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists],
-                names=["doc_id", "n", "h1", "h2", "bands"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists],
+                names=["doc_id", "th", "n", "h1", "h2", "bands"],
             )
 
 
@@ -106,14 +106,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, n_shingles, component_id, kept for every row of docs; see _grouped."""
+    return _grouped(docs, percent).drop("th")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, kept for every row of docs.
 
     Null and empty texts, and texts of blanks, have no shingles and are linked with nothing. Rows with a null doc_id
     have no component and are kept. Rows that share a doc_id are one node for links, and each gets the
     component of its own text. Other columns are ignored.
     """
     base = docs.select("doc_id", "text")
-    signed = cut(base.mapInArrow(_sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"))
+    signed = cut(base.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sign, "doc_id bigint, th bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"))
     # one representative of each set; equal sets are the same bands, so any() of them will do
     reps = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     rows = reps.select("rep", F.explode("bands").alias("key"))
@@ -147,18 +152,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     whole = reps.select("h1", "h2", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     # the component's name must be its smallest doc_id, and a representative is the smallest of its set
     whole = whole.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2"], "left")
+    out = signed.select("doc_id", "th", "n", "h1", "h2").join(whole, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of smallest doc_id; columns as in docs.
-
-    Of rows that share a doc_id, all go if one isn't its group's.
-    """
-    return without(docs, near_duplicates(docs, percent).where("not kept").select("doc_id"))
+    """docs with one document of each group of near duplicates, that of smallest doc_id; columns as in docs. Rows with a null doc_id stay."""
+    return without(docs, _grouped(docs, percent).where("not kept").select("doc_id", "th"))
 
 
 ORACLE = r"""

@@ -1,19 +1,24 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Text is read as symbols of a folded alphabet of 64: letters, upper case, digits, marks and halves of
-other code points; a word that repeats the one before it is one symbol of its own, since running
-repetition is what distinguishes filler. The model is of order 4, hence never has more than 64^4
-entries, however much text it is trained on, and sees no further back than three symbols. Its counts
-are taken over all trusted text: every task counts its own text, the tasks' counts are summed by
-n-gram, and the sums go to the driver, where they give discounts and continuation counts per order.
-The dense table of probabilities is broadcast and indexed; n-grams aren't joined to counts. One
-pass scores every document. Thresholds are quantiles per language and length
-over all trusted documents.
+Text is read as words and runs of marks. The WORDS most frequent of them in the trusted text are known one by one, all
+others by their kind and length; a word that repeats the one before it is read as the number of times it has done so,
+since running repetition is what distinguishes filler. The model is of order 3. Its counts grow with the
+text and never meet in one place: every task sums its own trigrams and sends them, packed, to the shard of their middle word, or,
+for the HOT most frequent words, of their first two. A shard thus has all that a trigram's probability asks for:
+the counts of the trigram and of its context, and the numbers of contexts that its last two words
+follow (of hot words, these are summed apart: HOT x WORDS numbers at most). The driver gets counts of counts, and
+one number a known word.
+
+Documents are scored by a join of the same shards: every task sends the distinct trigrams of its documents to the
+shards, which return sums by document. The documents' perplexities are held against quantiles over held-out trusted
+documents of their language and length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,186 +26,451 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytesops as B
-from quillon.llm.common import cut, small_enough, without
-
-ORDER, A = 4, 64
-SPACE, UPPER, DIGIT, NEWLINE, REPEAT = 0, 27, 28, 29, 33
-
-
-def _alphabet() -> np.ndarray:
-    t = np.zeros(256, np.uint8)
-    t[97:123] = np.arange(1, 27)
-    t[65:91], t[48:58], t[10] = UPPER, DIGIT, NEWLINE
-    t[46], t[44], t[124] = 30, 31, 32
-    rest = [c for c in range(33, 127) if t[c] == 0]
-    t[rest] = 34 + np.arange(len(rest)) % 6
-    t[128:192] = 40 + np.arange(64) % 16
-    t[192:] = 56 + np.arange(64) % 8
-    t[[9, 11, 12, 13, 32]] = SPACE
-    return t
-
-
-_SYMBOL = _alphabet()
-
-
-def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, each led by ORDER - 1 newlines, and the offsets of each text's symbols."""
-    x = _SYMBOL[buf]
-    keep = np.ones(len(buf), bool)
-    starts, ends, counts = B.spans(buf, offs, B.NOT_BLANK)
-    if len(starts) > 1:
-        h = B.hashes(buf, starts, ends)
-        same = np.concatenate([[False], h[1:] == h[:-1]])
-        first = np.cumsum(counts)[:-1]
-        same[first[first < len(same)]] = False
-        s, e = starts[same], ends[same]
-        x[s] = REPEAT
-        # the repetition stands for the word and the blank before it
-        mark = np.zeros(len(buf) + 1, np.int8)
-        np.add.at(mark, s + 1, 1)
-        np.add.at(mark, e, -1)
-        keep = np.cumsum(mark[:-1], dtype=np.int8) == 0
-        keep[s - 1] = False
-    n = np.diff(np.concatenate([[0], np.cumsum(keep)])[offs])
-    out = np.full(int(n.sum()) + (ORDER - 1) * len(n), NEWLINE, np.uint8)
-    ends_ = np.cumsum(n + ORDER - 1)
-    lead = np.zeros(len(out), bool)
-    for k in range(ORDER - 1):
-        lead[ends_ - n - 1 - k] = True
-    out[~lead] = x[keep]
-    return out, np.concatenate([[0], ends_])
-
-
-def grams(x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of each text, one per symbol after its lead, and their offsets."""
-    n = np.diff(offs) - (ORDER - 1)
-    if len(x) < ORDER:
-        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    code = np.zeros(len(x) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        code = code * A + x[k : len(x) - ORDER + 1 + k]
-    ok = np.ones(len(code), bool)
-    for k in range(ORDER - 1):
-        at = offs[1:-1] - 1 - k
-        ok[at[(at >= 0) & (at < len(ok))]] = False
-    return code[ok], np.concatenate([[0], np.cumsum(n)])
-
-
-def _texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+from quillon.llm.common import cut, scratch, small_enough, stored, without
+
+#: Words known one by one, and those of them whose trigrams are spread by the first word, too.
+WORDS, HOT = 8192, 256
+#: Numbers of words that aren't known: by kind and length; of the times that a word is repeated; of the start of a text.
+KINDS, RUNS, START = WORDS, WORDS + 32, WORDS + 63
+ALL, BITS = WORDS + 64, 14
+LOW, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Trusted text that a shard stands for, and the tokens of the documents that a task sends at once, about.
+SHARD_BYTES, TOKENS = 32 << 20, 1 << 21
+HELD_OUT = 5
+
+_MARK = ~B.ALNUM
+_MARK[[32, 9, 10, 11, 12, 13]] = False
+
+
+def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token of the texts, its number if it isn't a known word (for repetitions, always), negative for the latter, and tokens by text."""
+    s1, e1, n1 = B.spans(buf, offs, B.ALNUM)
+    s2, e2, n2 = B.spans(buf, offs, _MARK)
+    start, end = np.concatenate([s1, s2]), np.concatenate([e1, e2])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    h = B.hashes(buf, start, end)
+    first = buf[start]
+    kind = np.where(order >= len(s1), 3, np.where((first >= 48) & (first < 58), 2, 0))
+    upper = lambda c: (c >= 65) & (c < 91)
+    kind[(kind == 0) & (end - start > 1) & upper(first) & upper(buf[np.minimum(start + 1, len(buf) - 1)])] = 1
+    number = KINDS + kind * 8 + np.minimum(7, 2 * np.log2(end - start)).astype(np.int64)
+    n = n1 + n2
+    same = np.zeros(len(h), bool)
+    same[1:] = h[1:] == h[:-1]
+    at = np.cumsum(n)[:-1]
+    same[at[at < len(h)]] = False
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else np.zeros(0, np.int64)
+    times = np.where(run < 4, run, 2 + np.log2(np.maximum(run, 1)).astype(np.int64))
+    return h, np.where(same, -(RUNS + np.minimum(times, 30)), number), n
+
+
+class Vocabulary:
+    def __init__(self, hashes: np.ndarray):
+        """hashes: of the known words, most frequent first."""
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def numbers(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.abs(other)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where((other >= 0) & (self.hashes[at] == h), self.order[at], np.abs(other))
+
+    def trigrams(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code of the trigram that ends at each token, and the number of tokens of each text."""
+        h, other, n = tokens(buf, offs)
+        w = self.numbers(h, other)
+        at = np.cumsum(n) - n
+        at = at[n > 0]
+        code = w.copy()
+        back = w
+        for k in (1, 2):
+            back = np.concatenate([[START], back[:-1]]) if len(w) else back
+            back[at] = START
+            code |= back << k * BITS
+        return code, n
+
+
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
+    middle = (code >> BITS) & LOW
+    spread = (middle < HOT) | (middle >= WORDS)
+    key = np.where(spread, (code >> BITS) + (1 << 2 * BITS), middle)
+    return (B.mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as bytes: the first is sorted and becomes differences; like bytes of all numbers stand together."""
+    out = [np.array([len(columns)] + [len(c) for c in columns], np.int64).tobytes()]
+    for k, c in enumerate(columns):
+        c = np.diff(c, prepend=0) if k == 0 else c
+        kind = np.uint16 if k and len(c) and c.max() < 1 << 16 else np.uint64
+        out.append(bytes([kind().itemsize]))
+        out.append(c.astype(kind).view(np.uint8).reshape(len(c), kind().itemsize).T.tobytes())
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    k = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, np.int64, k, 8)
+    at, out = 8 * (k + 1), []
+    for i, n in enumerate(sizes):
+        width = raw[at]
+        c = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1).astype(np.int64)
+        out.append(np.cumsum(c) if i == 0 else c)
+        at += 1 + n * width
+    return out
+
+
+def _grouped(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their n."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and the places that hold it, in order."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield int(key[part[0]]), part
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, offs = B.raw(texts)
     for i, j in B.groups(offs):
-        yield i, j, *grams(*symbols(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+        yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(A**ORDER, np.uint32)
-    for batch in batches:
-        for _, _, code, _ in _texts(batch.column(0)):
-            np.add.at(total, code, np.uint32(1))
-    seen = np.flatnonzero(total)
-    for s in range(0, len(seen), 1 << 16):
-        k = seen[s : s + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.int64())], names=["gram", "n"])
-
+# Rows on their way: to (a shard or a number), kind, key, n, blob.
+ROW = "to bigint, kind int, key bigint, n bigint, blob binary"
+TRIGRAMS, NUMBERS, ASKED, DOCUMENTS, SUMS = range(5)
+#: Rows of the table of numbers that are summed for the driver: of the hot words' pairs, by last word; of the other pairs, by last word;
+#: and how many counts of 1 to 4 there are in orders 2 and 3. It travels in parts of so many rows.
+OTHERS, COUNTS, HEIGHT, PART = HOT + 64, HOT + 65, HOT + 66, 20
 
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Discounts of counts 1, 2 and more, after Chen and Goodman; where counts of counts are missing, their usual stand-ins."""
-    n = [float((counts == k).sum()) for k in (1, 2, 3, 4)]
-    if not n[0] or not n[1]:
-        return 0.5, 0.75, 0.9
-    y = n[0] / (n[0] + 2 * n[1])
-    out = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.0 for k in range(3)]
-    return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(out))  # type: ignore[return-value]
-
-
-def interpolate(counts: np.ndarray, lower: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    """P(w | context): counts (contexts x A) discounted, and what is discounted given to the lower order's P(w)."""
-    c = counts.astype(np.float64)
-    total = c.sum(axis=1, keepdims=True)
-    off = np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        p = (c - off) / total + off.sum(axis=1, keepdims=True) / total * lower
-    return np.where(total > 0, p, lower)
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-ln P(last symbol | the ones before) for all A^ORDER codes, from raw counts of the highest order."""
-    top = np.zeros(A**ORDER, np.uint32)
-    top[gram] = np.minimum(n, 0xFFFFFFFF)
-    raw = [top]
-    seen = gram
-    for k in range(ORDER - 1, 0, -1):
-        # distinct symbols before: continuation counts of the next lower order
-        c = np.bincount(seen % A**k, minlength=A**k).astype(np.uint32)
-        raw.append(c)
-        seen = np.flatnonzero(c)
-    p = np.full(A, 1.0 / A)[None, :]
-    p = interpolate(raw[-1].reshape(1, A), p, discounts(raw[-1]))
-    for counts in raw[-2::-1]:
-        d, contexts = discounts(counts), counts.reshape(-1, A)
-        # the lower order's context is this one's without its first symbol
-        out = np.empty(contexts.shape, np.float32)
-        lower = p.reshape(-1, A)
-        step = len(lower)
-        for s in range(0, len(contexts), step):
-            out[s : s + step] = interpolate(contexts[s : s + step], lower, d)
-        p = out
-    return -np.log(np.maximum(p.reshape(-1), 1e-12)).astype(np.float32)
-
-
-def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Model of the texts of docs whose doc_id is in trusted (doc_id)."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    text = docs.select("doc_id", "text").join(small_enough(ids), "doc_id").select("text")
-    counts = cut(text.mapInArrow(_count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
-    # at most A^ORDER rows, whatever the corpus
-    m = counts.toPandas()
-    return kneser_ney(m["gram"].to_numpy(np.int64), m["n"].to_numpy(np.int64))
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["to", "kind", "key", "n", "blob"])
 
-def perplexity(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """docs' doc_id and lang, n_symbols, nll (mean -ln P per symbol; null for null and empty texts)."""
-    half = docs.sparkSession.sparkContext.broadcast(model.astype(np.float16))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = half.value
-        for batch in batches:
-            for i, j, code, offs in _texts(batch.column(2)):
-                c = np.concatenate([[0.0], np.cumsum(cost[code].astype(np.float64))])
-                n = np.diff(offs)
-                nll = (c[offs[1:]] - c[offs[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(nll, pa.float64(), mask=n == 0)], names=["doc_id", "lang", "n_symbols", "nll"])
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Runs of rows of one `to`; each must be read to its end."""
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+    return ((k, g) for k, g in groupby(rows, key=lambda r: r[0]))
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, n_symbols bigint, nll double")
 
+def _together(df: DataFrame) -> DataFrame:
+    return df.repartition(F.col("to")).sortWithinPartitions("to", "kind")
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 3.0, least: int = 20, min_symbols: int = 24) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, kept for every row of docs.
 
-    A document is kept if its mean -ln P is at most median + slack * (quantile - median) of the trusted documents of
-    its language and length class (powers of four symbols); where fewer than least of them are, those of the
-    length class in all languages, of the language, or of all stand in. Texts of fewer than
-    min_symbols are too short to judge and stay; null and empty ones have no perplexity and aren't kept. Without
-    trusted text everything else is. A null language is a language. Repeated rows give repeated results.
+def discounts(n: list[float]) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and more, after Chen and Goodman, from the numbers of counts 1 to 4; where these are missing, their usual stand-ins."""
+    if not n[0] or not n[1]:
+        return np.array([0, 0.5, 0.75, 0.9])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.0 for k in range(3)]
+    return np.array([0.0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)])
+
+
+def _context(key: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted contexts and the counts within them: the distinct contexts, where each count's is, their totals, and the share left to the lower order."""
+    new = np.append(True, key[1:] != key[:-1])
+    where = np.cumsum(new) - 1
+    total = np.bincount(where, weights=c)
+    return key[new], where, total, np.bincount(where, weights=d[np.minimum(c, 3)]) / total
+
+
+def _look(keys: np.ndarray, values: np.ndarray, q: np.ndarray, default: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(q), default)
+    at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+    return np.where(keys[at] == q, values[at], default)
+
+
+class Model:
+    """What every shard needs beside its own trigrams: discounts, the lowest order, and the second for hot words."""
+
+    def __init__(self, two: list[float], three: list[float], last: np.ndarray, hot: np.ndarray):
+        """two, three: how many counts of 1 to 4 there are in these orders; last: by word, how many words it follows; hot: by hot word and word, how many words stand before both."""
+        self.d2, self.d3 = discounts(two), discounts(three)
+        d1 = discounts([float((last == k).sum()) for k in (1, 2, 3, 4)])
+        off = d1[np.minimum(last, 3)]
+        total = max(float(last.sum()), 1.0)
+        self.p1 = (last - off) / total + (off.sum() / total if last.any() else 1.0) / ALL
+        self.hot = hot.astype(np.int32)
+        sums = hot.sum(axis=1)
+        self.hot_total = np.maximum(sums, 1).astype(float)
+        self.hot_left = np.where(sums > 0, self.d2[np.minimum(hot, 3)].sum(axis=1) / self.hot_total, 1.0)
+
+
+def _hot_row(word: np.ndarray) -> np.ndarray:
+    """Row of a hot word, or of a number that is no word's, in the table of hot words; -1 for others."""
+    return np.where(word < HOT, word, np.where(word >= WORDS, word - WORDS + HOT, -1))
+
+
+class Shard:
+    """Costs, -ln P(last | first two), of the trigrams of one shard."""
+
+    def __init__(self, model: Model, code: np.ndarray, count: np.ndarray):
+        self.m, self.code, self.count = model, code, count
+        z = np.zeros(0)
+        self.context = self.total = self.left = self.pair = self.pair_p = self.word = self.word_left = z
+        if len(code):
+            self.context, _, self.total, self.left = _context(code >> BITS, count, model.d3)
+            pair, before = _grouped(code & PAIR, np.ones(len(code), np.int64))
+            own = _hot_row(pair >> BITS) < 0
+            pair, before = pair[own], before[own]
+            if len(pair):
+                self.word, where, total, self.word_left = _context(pair >> BITS, before, model.d2)
+                self.pair, self.pair_p = pair, (before - model.d2[np.minimum(before, 3)]) / total[where]
+
+    def cost(self, code: np.ndarray) -> np.ndarray:
+        m, middle, last = self.m, (code >> BITS) & LOW, code & LOW
+        p2 = _look(self.pair, self.pair_p, code & PAIR, 0.0) + _look(self.word, self.word_left, middle, 1.0) * m.p1[last]
+        row = _hot_row(middle)
+        h = np.flatnonzero(row >= 0)
+        c, r = m.hot[row[h], last[h]], row[h]
+        p2[h] = (c - m.d2[np.minimum(c, 3)]) / m.hot_total[r] + m.hot_left[r] * m.p1[last[h]]
+        c = _look(self.code, self.count, code, 0).astype(np.int64)
+        total = _look(self.context, self.total, code >> BITS, 1.0)
+        return -np.log((c - m.d3[np.minimum(c, 3)]) / total + _look(self.context, self.left, code >> BITS, 1.0) * p2)
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the task's texts and how often they occur."""
+
+    def out(hs: list, ns: list) -> pa.RecordBatch:
+        h, n = _grouped(np.concatenate(hs), np.concatenate(ns))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    hs, ns, size = [], [], 0
+    for batch in batches:
+        for _, _, buf, offs in _parts(batch.column(0)):
+            h, other, _ = tokens(buf, offs)
+            h, n = np.unique(h[other >= 0], return_counts=True)
+            hs.append(h)
+            ns.append(n)
+            size += len(h)
+            if size > TOKENS:
+                yield out(hs, ns)
+                hs, ns, size = [], [], 0
+    if hs:
+        yield out(hs, ns)
+
+
+def vocabulary(text: DataFrame) -> Vocabulary:
+    """The most frequent words that text (text) holds twice at least."""
+    words = text.mapInArrow(_known, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    # at most WORDS rows
+    top = words.orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
+    return Vocabulary(top.sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def count(text: DataFrame, vocab, shards: int) -> DataFrame:
+    """Trigrams of text (text), packed by shard, and sums for the driver: rows as ROW has them. vocab: a broadcast Vocabulary."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(codes: list) -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            return _rows([(s, TRIGRAMS, 0, len(x), pack(code[x], n[x])) for s, x in _by(shard_of(code, shards))])
+
+        codes, size = [], 0
+        for batch in batches:
+            for _, _, buf, offs in _parts(batch.column(0)):
+                codes.append(vocab.value.trigrams(buf, offs)[0])
+                size += len(codes[-1])
+                if size > TOKENS:
+                    yield out(codes)
+                    codes, size = [], 0
+        if size:
+            yield out(codes)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _shards(batches):
+            code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            more, size = [(code, n)], 0
+            for r in rows:
+                more.append(unpack(r[4]))
+                size += r[3]
+                if size > TOKENS:
+                    more, size = [_grouped(np.concatenate([m[0] for m in more]), np.concatenate([m[1] for m in more]))], 0
+            code, n = _grouped(np.concatenate([m[0] for m in more]), np.concatenate([m[1] for m in more]))
+            yield _rows([(shard, TRIGRAMS, 0, len(code), pack(code, n))])
+            pair, before = _grouped(code & PAIR, np.ones(len(code), np.int64))
+            row = _hot_row(pair >> BITS)
+            # pairs of words that aren't hot are all here
+            own = row < 0
+            cell = np.concatenate([np.where(own, OTHERS, row) * ALL + (pair & LOW), COUNTS * ALL + np.arange(8)])
+            sums = np.concatenate([np.where(own, 1, before), [(before[own] == k).sum() for k in (1, 2, 3, 4)], [(n == k).sum() for k in (1, 2, 3, 4)]])
+            cell, sums = _grouped(cell, sums)
+            yield _rows([(k, NUMBERS, 0, len(x), pack(cell[x], sums[x])) for k, x in _by(cell // (PART * ALL))])
+
+    return _together(text.mapInArrow(local, ROW)).mapInArrow(merged, ROW)
+
+
+def fit(trigrams: DataFrame) -> Model:
+    """Of count()'s rows; the driver gets HEIGHT x ALL numbers at most, however much text there is."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _shards(batches):
+            total = np.zeros(PART * ALL, np.int64)
+            for r in rows:
+                cell, n = unpack(r[4])
+                total[cell - part * PART * ALL] += n
+            cell = np.flatnonzero(total)
+            yield _rows([(part, NUMBERS, 0, len(cell), pack(cell + part * PART * ALL, total[cell]))])
+
+    table = np.zeros(HEIGHT * ALL, np.int64)
+    for r in _together(trigrams.where(F.col("kind") == NUMBERS)).mapInArrow(add, ROW).select("blob").collect():
+        cell, n = unpack(r.blob)
+        table[cell] = n
+    table = table.reshape(HEIGHT, ALL)
+    hot = table[:OTHERS]
+    two = [float(table[COUNTS, k] + (hot == k + 1).sum()) for k in range(4)]
+    return Model(two, table[COUNTS, 4:8].astype(float).tolist(), table[OTHERS] + (hot > 0).sum(axis=0), hot)
+
+
+def score(docs: DataFrame, trigrams: DataFrame, vocab, model, shards: int) -> DataFrame:
+    """doc_id, lang, th (hash of the text), n_tokens, nll (mean -ln P of a token; null without tokens) for every row of docs."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> pa.RecordBatch:
+            about = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+            n = np.concatenate([h[2] for h in held])
+            code, doc = np.concatenate([h[1] for h in held]), np.repeat(np.arange(len(n)), n)
+            th = about.column("th").to_numpy().view(np.uint64)
+            # what a group of documents is called depends on these alone
+            key = int(B.mix(np.array([np.bitwise_xor.reduce(B.mix(th + np.arange(len(th), dtype=np.uint64)))], np.uint64)).view(np.int64)[0])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, about.schema) as w:
+                w.write_table(about)
+            whole = len(n).to_bytes(8, "little") + n.astype(np.int64).tobytes() + sink.getvalue().to_pybytes()
+            rows = [(key % shards, DOCUMENTS, key, len(n), whole)]
+            both, times = np.unique(code * len(n) + doc, return_counts=True)
+            code, doc = both // len(n), both % len(n)
+            for s, x in _by(shard_of(code, shards)):
+                c, d = np.unique(code[x], return_counts=True)
+                rows.append((s, ASKED, key, len(x), pack(c, d, doc[x], times[x])))
+            return _rows(rows)
+
+        held, size = [], 0
+        for batch in batches:
+            for i, j, buf, offs in _parts(batch.column(3)):
+                code, n = vocab.value.trigrams(buf, offs)
+                held.append((pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(3)], names=["doc_id", "lang", "th"]), code, n))
+                size += len(code) + len(n)
+                if size > TOKENS:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _shards(batches):
+            shard = None
+            for _, kind, key, n, blob in rows:
+                if kind == TRIGRAMS:
+                    shard = Shard(model.value, *unpack(blob))
+                elif kind == DOCUMENTS:
+                    yield _rows([(key, DOCUMENTS, key, n, blob)])
+                else:
+                    code, d, doc, times = unpack(blob)
+                    shard = shard or Shard(model.value, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    cost = np.repeat(shard.cost(code), d) * times
+                    order = np.argsort(doc, kind="stable")
+                    doc = doc[order]
+                    new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    # in whole 2^-20ths: sums don't depend on their order
+                    sums = np.add.reduceat(np.rint(cost[order] * (1 << 20)).astype(np.int64), new)
+                    yield _rows([(key, SUMS, key, n, pack(doc[new], sums, np.add.reduceat(times[order], new)))])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _shards(batches):
+            about: list[list] = []
+            for _, kind, _, size, blob in rows:
+                if kind == DOCUMENTS:
+                    # one group's text may be there more than once
+                    n = np.frombuffer(blob, np.int64, size, 8)
+                    about.append([pa.ipc.open_stream(blob[8 * (size + 1) :]).read_all(), n, np.zeros(size, np.int64), np.zeros(size, np.int64)])
+                else:
+                    doc, sums, times = unpack(blob)
+                    about[0][2][doc] += sums
+                    about[0][3][doc] += times
+            for table, n, _, _ in about:
+                sums, times = about[0][2], about[0][3]
+                if (times != n * len(about)).any():
+                    raise RuntimeError("the order of the documents changed between two attempts of a task; store them first")
+                nll = sums / np.maximum(times, 1) / (1 << 20)
+                cols = [c.combine_chunks() for c in table.columns]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(nll, pa.float64(), mask=n == 0)], names=["doc_id", "lang", "th", "n_tokens", "nll"])
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th"), "text").mapInArrow(ask, ROW)
+    met = _together(trigrams.where(F.col("kind") == TRIGRAMS).unionByName(asked)).mapInArrow(answer, ROW)
+    return _together(met).mapInArrow(total, "doc_id bigint, lang string, th bigint, n_tokens bigint, nll double")
+
+
+def perplexity(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """score() of docs under a model of the texts of docs whose doc_id is in training (doc_id)."""
+    spark = docs.sparkSession
+    ids = training.where("doc_id is not null").select("doc_id").distinct()
+    text = docs.select("doc_id", "text").join(small_enough(ids), "doc_id").select("text")
+    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
+    vocab = spark.sparkContext.broadcast(vocabulary(text))
+    with scratch(spark) as folder:
+        trigrams = stored(count(text, vocab, shards), folder)
+        model = spark.sparkContext.broadcast(fit(trigrams))
+        scored = cut(score(docs, trigrams, vocab, model, shards))
+    vocab.unpersist()
+    model.unpersist()
+    return scored
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, least: int = 20) -> DataFrame:
+    """doc_id, lang, th, n_tokens, perplexity, threshold, kept for every row of docs.
+
+    A fifth of the trusted documents, by crc32 of doc_id, is held out of the model. A document is kept if its mean -ln P is at most the
+    given quantile over the held-out documents of its language and length class (powers of four tokens); where fewer than
+    least of them are, over those of the length class in all languages, of the language, or over all. The quantile is estimated from the
+    tail: the 0.9 quantile, and an exponential of the mean excess over it. A text shorter than the shortest length class of
+    which least held-out documents are known can't be told and stays. Null and empty texts have no perplexity and aren't kept.
+    Without held-out text everything else is. A null language is a language. Repeated rows give repeated results.
     """
-    scored = cut(perplexity(docs, fit(docs, trusted)).withColumn("class", F.expr("cast(ln(greatest(n_symbols, 1)) / ln(4) as int)")))
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    base = scored.where("nll is not null").join(small_enough(ids), "doc_id", "left_semi")
-    spread = F.percentile_approx("nll", F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000))
-    limit = (F.col("q")[0] + slack * (F.col("q")[1] - F.col("q")[0])).alias("limit")
-    groups = base.groupingSets([[F.col("lang"), F.col("class")], [F.col("class")], [F.col("lang")], []], F.col("lang"), F.col("class")).agg(spread.alias("q"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    out = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0
+    scored = perplexity(docs, ids.where(~out)).withColumn("class", F.expr("cast(ln(greatest(n_tokens, 1)) / ln(4) + 1e-9 as int)"))
+    base = scored.where("nll is not null").join(small_enough(ids.where(out)), "doc_id", "left_semi")
+    limits = cut(_limits(base.select("lang", "class", "nll"), quantile, least))
     # one row per language and class: small beside the documents; sides are broadcast only as their checked size allows
-    limits = cut(groups.where((F.col("n") >= least) | (F.col("level") == 3)).select("lang", "class", "level", limit))
-    fine = limits.where("level = 0").select(F.col("lang").alias("l0"), F.col("class").alias("c0"), F.col("limit").alias("t0"))
-    broad = limits.where("level = 1").select(F.col("lang").alias("l1"), F.col("limit").alias("t1"))
-    alike = limits.where("level = 2").select(F.col("class").alias("c2"), F.col("limit").alias("t2"))
-    everything = limits.where("level = 3").agg(F.max("limit").alias("t3"))
+    fine = limits.where("level = 0").select(F.col("g_lang").alias("l0"), F.col("g_class").alias("c0"), F.col("limit").alias("t0"))
+    broad = limits.where("level = 1").select(F.col("g_lang").alias("l1"), F.col("limit").alias("t1"))
+    alike = limits.where("level = 2").select(F.col("g_class").alias("c2"), F.col("limit").alias("t2"))
+    rest = limits.agg(F.max(F.when(F.col("level") == 3, F.col("limit"))).alias("t"), F.min(F.when(F.col("level") == 2, F.col("g_class"))).alias("shortest")).first()
     j = scored.join(small_enough(fine), F.col("lang").eqNullSafe(F.col("l0")) & (F.col("class") == F.col("c0")), "left")
     j = j.join(small_enough(alike), F.col("class") == F.col("c2"), "left")
-    j = j.join(small_enough(broad), F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(everything))
-    t = F.coalesce("t0", "t2", "t1", "t3")
-    kept = F.col("nll").isNotNull() & ((F.col("n_symbols") < min_symbols) | F.coalesce(F.col("nll") <= t, F.lit(True)))
-    return j.select("doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), F.exp(t).alias("threshold"), kept.alias("kept"))
+    j = j.join(small_enough(broad), F.col("lang").eqNullSafe(F.col("l1")), "left")
+    t = F.coalesce("t0", "t2", "t1", F.lit(rest["t"]).cast("double"))
+    t = F.when(F.col("class") >= (rest["shortest"] or 0), t)
+    kept = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= t, F.lit(True))
+    return j.select("doc_id", "lang", "th", "n_tokens", F.exp("nll").alias("perplexity"), F.exp(t).alias("threshold"), kept.alias("kept"))
+
+
+def _limits(base: DataFrame, quantile: float, least: int) -> DataFrame:
+    """g_lang, g_class, level, limit: quantiles of base's nll by language and class (level 0), language (1), class (2) and over all (3)."""
+    rows = base.select("nll", "lang", "class", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
+    rows = rows.select("nll", "level", F.expr("if(level < 2, lang, null)").alias("g_lang"), F.expr("if(level % 2 = 0, class, null)").alias("g_class"))
+    tails = rows.groupBy("level", "g_lang", "g_class").agg(F.percentile_approx("nll", F.lit(0.9), F.lit(10_000)).alias("q"), F.count(F.lit(1)).alias("n"))
+    tails = tails.where((F.col("n") >= least) | (F.col("level") == 3)).select(F.col("level").alias("level"), F.col("g_lang").alias("k_lang"), F.col("g_class").alias("k_class"), "q")
+    same = (rows["level"] == tails["level"]) & F.col("g_lang").eqNullSafe(F.col("k_lang")) & F.col("g_class").eqNullSafe(F.col("k_class"))
+    both = rows.join(small_enough(tails), same).select(rows["level"], "g_lang", "g_class", "q", F.when(F.col("nll") > F.col("q"), F.col("nll") - F.col("q")).alias("over"))
+    excess = F.coalesce(F.avg("over"), F.lit(0.0))
+    return both.groupBy("level", "g_lang", "g_class").agg((F.max("q") + excess * math.log(0.1 / (1 - quantile))).alias("limit"))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
@@ -208,5 +478,5 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
-    """docs without the doc_ids of which the classifier rejects a row; columns as in docs."""
-    return without(docs, classify(docs, trusted, **how).where("not kept").select("doc_id"))
+    """docs without the rows that the classifier rejects (those with a null doc_id stay); columns as in docs."""
+    return without(docs, classify(docs, trusted, **how).where("not kept").select("doc_id", "th"))

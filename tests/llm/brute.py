@@ -1,7 +1,10 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -118,8 +121,6 @@ def phrases(t, table):
 
 def kneser_ney(texts, order, alphabet):
     """-ln P by tuple of symbols, of an interpolated modified model; texts are lists of symbols with their lead."""
-    from collections import Counter, defaultdict
-
     top = Counter(tuple(t[i : i + order]) for t in texts for i in range(len(t) - order + 1))
     levels = [top]
     for k in range(order - 1, 0, -1):
@@ -135,22 +136,94 @@ def kneser_ney(texts, order, alphabet):
         y = n[0] / (n[0] + 2 * n[1])
         return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.0, 0.05), k + 0.95) for k in range(3)]
 
+    d = [discount(c) for c in levels]
+    rows = [defaultdict(list) for _ in levels]
+    for c, r in zip(levels, rows, strict=True):
+        for g, v in c.items():
+            r[g[:-1]].append(v)
+
     def prob(g):
         if not g:
             return 1 / alphabet
-        c = levels[order - len(g)]
-        d = discount(c)
-        row = {w: c[g[:-1] + (w,)] for w in range(alphabet) if g[:-1] + (w,) in c}
-        low = prob(g[1:])
+        k = order - len(g)
+        low, row = prob(g[1:]), rows[k].get(g[:-1])
         if not row:
             return low
-        total, off = sum(row.values()), sum(d[min(v, 3) - 1] for v in row.values())
-        v = row.get(g[-1], 0)
-        return ((v - d[min(v, 3) - 1]) if v else 0) / total + off / total * low
+        v, off = levels[k].get(g, 0), sum(d[k][min(x, 3) - 1] for x in row)
+        return ((v - d[k][min(v, 3) - 1]) if v else 0) / sum(row) + off / sum(row) * low
 
     return lambda g: -np.log(prob(tuple(g)))
 
 
+TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+")
+
+
+def numbered(texts, train, words, kinds, runs):
+    """The numbers of the tokens of texts ({id: text}); the most frequent words are those of the texts in train."""
+    out, count = {}, Counter()
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        low = raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        last, run, out[i] = None, 0, []
+        for m in TOKEN.finditer(low):
+            x, y = m[0], raw[m.start() : m.end()]
+            run, last = (run + 1 if x == last else 0), x
+            if run:
+                out[i].append(runs + min(30, run if run < 4 else 2 + int(math.log2(run))))
+                continue
+            alnum = 48 <= x[0] < 58 or 97 <= x[0] < 123 or x[0] > 127
+            kind = 3 if not alnum else 2 if x[0] < 58 else 1 if len(y) > 1 and all(65 <= c <= 90 for c in y[:2]) else 0
+            out[i].append((x, kinds + kind * 8 + min(7, int(2 * math.log2(len(x))))))
+            if i in train:
+                count[x] += 1
+    # ties don't matter here as long as all words fit
+    assert sum(n > 1 for n in count.values()) <= words
+    known = {x: k for k, x in enumerate(x for x, n in count.items() if n > 1)}
+    return {i: [known.get(v[0], v[1]) if isinstance(v, tuple) else v for v in s] for i, s in out.items()}
+
+
+def quality(docs, trusted, quantile=0.999, least=20):
+    """{id: (tokens, nll, limit, kept)} of docs (id, text, lang)."""
+    from quillon.llm import quality as q
+
+    train = {i for i in trusted if zlib.crc32(str(i).encode()) % 5}
+    seqs = numbered({d[0]: d[1] for d in docs}, train, q.WORDS, q.KINDS, q.RUNS)
+    lead = {i: [q.START, q.START, *s] for i, s in seqs.items()}
+    cost = kneser_ney([lead[i] for i in lead if i in train], 3, q.ALL)
+    memo, nll = {}, {}
+    for i, s in lead.items():
+        grams = [tuple(s[k : k + 3]) for k in range(len(s) - 2)]
+        for g in grams:
+            if g not in memo:
+                memo[g] = cost(g)
+        nll[i] = sum(memo[g] for g in grams) / len(grams) if grams else None
+    klass = {i: int(math.log(max(len(s), 1)) / math.log(4) + 1e-9) for i, s in seqs.items()}
+    lang = {d[0]: d[2] for d in docs}
+    by = defaultdict(list)
+    for i in trusted - train:
+        if i in seqs and nll[i] is not None:
+            for key in ((lang[i], klass[i]), ("*", klass[i]), (lang[i], "*"), ("*", "*")):
+                by[key].append(nll[i])
+    known = [k[1] for k, v in by.items() if k[0] == "*" and k[1] != "*" and len(v) >= least]
+
+    def limit(i):
+        if klass[i] < min(known, default=0):
+            return None
+        for key in ((lang[i], klass[i]), ("*", klass[i]), (lang[i], "*"), ("*", "*")):
+            v = sorted(by[key])
+            if len(v) >= (1 if key == ("*", "*") else least):
+                top = v[max(0, math.ceil(0.9 * len(v)) - 1)]
+                over = [x - top for x in v if x > top]
+                return top + (sum(over) / len(over) if over else 0) * math.log(0.1 / (1 - quantile))
+        return None
+
+    out = {}
+    for i, s in seqs.items():
+        t = limit(i)
+        out[i] = (len(s), nll[i], t, nll[i] is not None and (t is None or nll[i] <= t))
+    return out
+
+
 def vectors(rows, threshold=0.9):
     rows = sorted(rows, key=lambda r: r[0])
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]

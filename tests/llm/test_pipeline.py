@@ -6,69 +6,14 @@ import os
 from collections import Counter, defaultdict
 
 import brute
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillon.llm import quality
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the public tables aren't here")
 
 
-def symbols(t):
-    """One text read symbol by symbol: a word like the one before it, and the blank between, is one symbol."""
-    b = (t or "").encode()
-    blank, out, before, i = set(b" \t\n\x0b\x0c\r"), [], None, 0
-    while i < len(b):
-        if b[i] in blank:
-            out.append(int(quality._SYMBOL[b[i]]))
-            i += 1
-            continue
-        j = i
-        while j < len(b) and b[j] not in blank:
-            j += 1
-        word = bytes(c + 32 if 65 <= c <= 90 else c for c in b[i:j])
-        if word == before:
-            out[-1] = quality.REPEAT
-        else:
-            out += [int(quality._SYMBOL[c]) for c in b[i:j]]
-        before, i = word, j
-    return out
-
-
-def quality_kept(docs, trusted, quantile=0.99, slack=3.0, least=20, short=24):
-    lead = [quality.NEWLINE] * (quality.ORDER - 1)
-    seqs = {d["doc_id"]: lead + symbols(d["text"]) for d in docs}
-    cost = brute.kneser_ney([seqs[i] for i in seqs if i in trusted], quality.ORDER, quality.A)
-    memo = {}
-    nll = {}
-    for i, s in seqs.items():
-        grams = [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
-        for g in grams:
-            if g not in memo:
-                memo[g] = float(np.float16(cost(g)))
-        nll[i] = sum(memo[g] for g in grams) / len(grams) if grams else None
-    size = {i: len(s) - 3 for i, s in seqs.items()}
-    klass = {i: int(math.log(max(n, 1)) / math.log(4)) for i, n in size.items()}
-    lang = {d["doc_id"]: d["lang"] for d in docs}
-    by = defaultdict(list)
-    for i in seqs:
-        if i in trusted and nll[i] is not None:
-            for key in ((lang[i], klass[i]), ("*", klass[i]), (lang[i], "*"), ("*", "*")):
-                by[key].append(nll[i])
-
-    def limit(i):
-        for key in ((lang[i], klass[i]), ("*", klass[i]), (lang[i], "*"), ("*", "*")):
-            v = sorted(by[key])
-            if len(v) >= (1 if key == ("*", "*") else least):
-                mid, top = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.5, quantile))
-                return mid + slack * (top - mid)
-        return math.inf
-
-    return {i for i in seqs if nll[i] is not None and (size[i] < short or nll[i] <= limit(i))}
-
-
 def schedule(docs, cycle=1000, block=8):
     by = defaultdict(list)
     for d in docs:
@@ -95,7 +40,7 @@ def test_pipeline(spark):
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    kept = quality_kept(docs, trusted)
+    kept = {i for i, x in brute.quality([(d["doc_id"], d["text"], d["lang"]) for d in docs], trusted).items() if x[-1]}
     docs = [d for d in docs if d["doc_id"] in kept]
     lines = brute.lines_kept([(d["doc_id"], d["text"]) for d in docs])
     docs = [d | {"text": "\n".join(lines[i][1])} for i, d in enumerate(docs)]

@@ -188,27 +188,44 @@ def test_toxicity_learns_and_ignores_the_rest(spark):
     assert toxicity.digest(docs.limit(0), lab).count() == 0 and toxicity.digest(docs, lab.limit(0)).count() == len(rows_)
 
 
-def test_kneser_ney_against_plain_counts():
-    r = np.random.default_rng(8)
-    texts = [r.choice([1, 2, 3, 0, 30], n, p=[0.4, 0.2, 0.2, 0.15, 0.05]).tolist() for n in (50, 120, 4, 0)]
-    lead = [[quality.NEWLINE] * (quality.ORDER - 1) + t for t in texts]
-    x = np.array(sum(lead, []), np.uint8)
-    code, at = quality.grams(x, np.cumsum([0] + [len(t) for t in lead]))
-    assert np.diff(at).tolist() == [len(t) for t in texts]
-    g, n = np.unique(code, return_counts=True)
-    cost = quality.kneser_ney(g, n)
-    plain = brute.kneser_ney(lead, quality.ORDER, quality.A)
-    for q in [tuple(lead[0][i : i + 4]) for i in range(40)] + [(1, 2, 3, 9), (60, 61, 62, 63), (0, 0, 0, 0)]:
-        assert abs(cost[((q[0] * 64 + q[1]) * 64 + q[2]) * 64 + q[3]] - plain(q)) < 1e-4
-    assert abs(np.exp(-cost.reshape(-1, 64)).sum(axis=1) - 1).max() < 1e-3
-
-
-def test_symbols_mark_repetition():
-    t = ["go Go go on 12", "", "a\nb"]
+def test_tokens_of_the_language_model():
+    t = ["Go go GO go on, on... 12 ###", "", "a b"]
     buf = np.frombuffer("".join(t).encode(), np.uint8)
-    s, at = quality.symbols(buf, np.cumsum([0] + [len(x) for x in t]))
-    assert s[at[0] + 3 : at[1]].tolist() == [7, 15, 33, 33, 0, 15, 14, 0, 28, 28]
-    assert np.diff(at).tolist() == [13, 3, 6]
+    h, other, n = quality.tokens(buf, np.cumsum([0] + [len(x) for x in t]))
+    assert n.tolist() == [10, 0, 2]
+    assert other.tolist()[:4] == [quality.KINDS + 2, -quality.RUNS - 1, -quality.RUNS - 2, -quality.RUNS - 3]
+    assert other.tolist()[4:10] == [quality.KINDS + 2, quality.KINDS + 24, quality.KINDS + 2, quality.KINDS + 24 + 3, quality.KINDS + 16 + 2, quality.KINDS + 24 + 3]
+    assert h[4] == h[6] != h[0]
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        x = [np.sort(r.integers(0, 1 << 42, n)), r.integers(0, 9, n), r.integers(0, 1 << 40, n // 2)]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(x, quality.unpack(quality.pack(*x)), strict=True))
+
+
+def test_quality_against_plain_counts(spark, monkeypatch):
+    """Few hot words, many shards and small groups of documents, so that all that is split is put together again."""
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)] + ["\u00e9t\u00e9", ",", "!!", "UP", "42"]
+    p = 1 / np.arange(1, len(words) + 1)
+    docs = [(i, " ".join(r.choice(words, r.integers(0, 120), p=p / p.sum())), ["en", "de", None][i % 3]) for i in range(240)]
+    docs += [(300, None, "en"), (301, "zz " * 50, "en"), (302, "", None), (303, "w1 " * 40000, "de")]
+    trusted = set(range(0, 200))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(5)
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id bigint")
+    want = brute.quality(docs, trusted)
+    for size in (1 << 21, 50):
+        monkeypatch.setattr(quality, "TOKENS", size)
+        monkeypatch.setattr(quality, "SHARD_BYTES", 1 << 20 if size > 50 else 1000)
+        got = {x.doc_id: x for x in quality.classify(df, ids).collect()}
+        for i, (n, nll, limit, kept) in want.items():
+            assert (got[i].n_tokens, got[i].kept) == (n, kept)
+            assert (got[i].perplexity is None) == (nll is None) and (nll is None or abs(math.log(got[i].perplexity) - nll) < 1e-5)
+            assert (got[i].threshold is None) == (limit is None) and (limit is None or abs(math.log(got[i].threshold) - limit) < 1e-4)
+    again = quality.perplexity(df.unionByName(df), ids).collect()
+    assert len(again) == 2 * len(docs) and all((x.nll is None) == (want[x.doc_id][1] is None) for x in again)
 
 
 def test_quality(spark):
