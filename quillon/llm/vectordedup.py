@@ -1,8 +1,8 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Equal vectors collapse first. The rest are rotated to principal axes, sorted by the leading one
-into blocks of bounded size, and blocks are compared pairwise, except those whose bounding boxes
-on the leading axes lie too far apart. Within a pair of blocks, tiles accumulate the leading
+Equal vectors collapse first, and only those of one length are compared. They are rotated to principal axes, sorted by the leading one
+into blocks of bounded size, and blocks are compared pairwise; a vector goes only to those blocks whose bounding box
+on the leading axes is near enough. Lengths of few vectors make one block each. Within a pair of blocks, tiles accumulate the leading
 dimensions; the product of the two suffix norms bounds what the remaining dimensions can add
 (Cauchy-Schwarz), and a pair is dropped as soon as it cannot reach the threshold. What is left is
 decided by the full cosine in double precision. Tasks return counts and spanning edges, never
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, small_enough
 from quillon.llm.components import components
 
-BLOCK, TILE, LEAD, BOX = 8192, 1024, 16, 8
+#: Bytes of a block as doubles, at most. A length of more vectors than LEAST makes BLOCKS blocks or more, so that there are tasks to go round.
+BLOCK_BYTES, BLOCKS, LEAST = 16 << 20, 4, 4096
+#: Vectors of a tile, dimensions of a step, leading axes of a box.
+TILE, LEAD, BOX = 1024, 16, 16
 #: Slack of the pruning bounds against rounding; the decision itself has none.
 EPS = 1e-9
 
@@ -76,27 +79,44 @@ def compare(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, thresh
                 yield p[ok], q[ok]
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
+FOUND = "id bigint, n bigint, root bigint"
 
-    Null, empty and zero vectors, vectors that hold null or non-finite components, those whose length isn't the most
-    frequent one (the smaller on a tie), and rows with a null vec_id link with nothing. Repeated rows are vectors of their own.
-    Labels and other columns are ignored.
-    """
-    e = F.col("embedding")
-    base = vectors.select("vec_id", e.alias("v"))
-    whole = F.size("v") > 0
-    finite = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == math.inf))
-    base = base.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & whole & finite & F.exists("v", lambda c: c != 0), F.lit(False)))
-    lengths = base.where("ok").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return alone(base)
-    d = lengths["d"]
-    base = base.withColumn("ok", F.col("ok") & (F.size("v") == d)).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + F.lit(0).cast("float"))))
-    rows = base.select("vec_id", "ok", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7919), "v").alias("h2"), "v")
-    classes = cut(rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
-    n = classes.count()
+
+def _axes(second: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.linalg.eigh(second)[1][:, ::-1])
+
+
+def _links(rep: np.ndarray, mult: np.ndarray, unit: np.ndarray, turned: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> pa.Table:
+    """Of the pairs of rows a and b (all pairs of a, if they are the same): linked ids, how many vectors each is linked with, and their spanning edges."""
+    n, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for p, q in compare(unit[a], unit[b], turned[a], turned[b], threshold, a is b):
+        p, q = a[p], b[q]
+        np.add.at(n, p, mult[q])
+        np.add.at(n, q, mult[p])
+        _merge(label, p, q)
+    on = n > 0
+    return pa.table({"id": pa.array(rep[on]), "n": pa.array(n[on]), "root": pa.array(rep[label[on]])})
+
+
+def _few(threshold: float):
+    """Compares all vectors of a length that makes one block."""
+
+    def run(key, t):
+        t = t.combine_chunks()
+        unit = _unit(_list(t["v"]))
+        a = np.arange(len(unit))
+        return _links(t["rep"].to_numpy(), t["mult"].to_numpy(), unit, unit @ _axes(unit.T @ unit), a, a, threshold)
+
+    return run
+
+
+def _list(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _many(classes: DataFrame, d: int, n: int, threshold: float, block: int) -> DataFrame:
+    """FOUND for the n vectors of length d."""
+    kind = classes.schema["v"].dataType.simpleString()
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
@@ -110,8 +130,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, block: in
     m = classes.select("v").mapInArrow(moments, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
     second = np.zeros(d * d)
     second[m["i"].to_numpy()] = m["x"].to_numpy()
-    _, axes = np.linalg.eigh(second.reshape(d, d))
-    axes = np.ascontiguousarray(axes[:, ::-1])
+    axes = _axes(second.reshape(d, d))
     box = min(BOX, d)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,46 +138,65 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, block: in
             y = (_unit(batch.column(2)) @ axes)[:, :box] if len(batch) else np.zeros((0, box))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(y.reshape(-1)), box).cast(pa.list_(pa.float64()))], names=["rep", "mult", "v", "y"])
 
-    placed = classes.select("rep", "mult", "v").mapInArrow(lead, "rep bigint, mult bigint, v array<float>, y array<double>")
-    blocks = max(1, math.ceil(n / block))
-    placed = placed.withColumn("y0", F.col("y")[0])
+    blocks = max(BLOCKS, math.ceil(n / block))
+    placed = classes.select("rep", "mult", "v").mapInArrow(lead, f"rep bigint, mult bigint, v {kind}, y array<double>").withColumn("y0", F.col("y")[0])
     # Ranges of the leading axis; checkpointed, so that a lost task can't move a vector to another block.
-    placed = cut((placed.repartitionByRange(blocks, "y0", "rep") if blocks > 1 else placed.coalesce(1)).withColumn("block", F.spark_partition_id()).drop("y0"))
-    bounds = placed.groupBy("block").agg(*[F.min(F.col("y")[k]).alias(f"lo{k}") for k in range(box)], *[F.max(F.col("y")[k]).alias(f"hi{k}") for k in range(box)])
+    placed = cut(placed.repartitionByRange(blocks, "y0", "rep").withColumn("block", F.spark_partition_id()).drop("y0"))
+    bounds = placed.groupBy("block").agg(F.array(*[F.min(F.col("y")[k]) for k in range(box)]).alias("lo"), F.array(*[F.max(F.col("y")[k]) for k in range(box)]).alias("hi"))
+    # blocks squared rows at most, by a join on the first block's neighbours; the pair of a block with itself comes once
     pairs = bounds.select("block", F.explode(F.sequence("block", F.lit(blocks - 1))).alias("other"))
-    left = bounds.select(*[F.col(c).alias(f"a_{c}") for c in bounds.columns])
-    right = bounds.select(*[F.col(c).alias(f"b_{c}") for c in bounds.columns])
-    pairs = pairs.join(left, F.col("block") == F.col("a_block")).join(right, F.col("other") == F.col("b_block"))
-    apart = sum((F.pow(F.greatest(F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.lit(0.0)), F.lit(2.0)) for k in range(box)), F.lit(0.0))
-    pairs = pairs.where(apart <= 2 - 2 * threshold + EPS).select(F.col("block").alias("i"), F.col("other").alias("j"))
-    route = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.where("i < j").select("i", "j", F.col("j").alias("block")))
-    sent = placed.select("block", "rep", "mult", "v").join(small_enough(route), "block")
+    far = bounds.select(F.col("block").alias("f_block"), F.col("lo").alias("f_lo"), F.col("hi").alias("f_hi"))
+    near = bounds.select(F.col("block").alias("n_block"), F.col("lo").alias("n_lo"), F.col("hi").alias("n_hi"))
+    both = pairs.join(far, F.col("other") == F.col("f_block")).join(near, F.col("block") == F.col("n_block"))
+    route = both.select(F.col("block").alias("i"), F.col("other").alias("j"), F.col("block").alias("to"), F.col("f_lo").alias("lo"), F.col("f_hi").alias("hi"))
+    route = route.unionByName(both.where("block < other").select(F.col("block").alias("i"), F.col("other").alias("j"), F.col("other").alias("to"), F.col("n_lo").alias("lo"), F.col("n_hi").alias("hi")))
+    sent = placed.join(small_enough(route), F.col("block") == F.col("to"))
+    gap = F.expr("aggregate(zip_with(y, arrays_zip(lo, hi), (c, b) -> greatest(b.lo - c, c - b.hi, 0d)), 0d, (s, g) -> s + g * g)")
+    sent = sent.where((F.col("i") == F.col("j")) | (gap <= 2 - 2 * threshold + EPS)).select("i", "j", "block", "rep", "mult", "v")
 
     def pair(key, t):
         t = t.combine_chunks()
         i, j = key[0].as_py(), key[1].as_py()
-        side, rep, mult = t["block"].to_numpy(), t["rep"].to_numpy(), t["mult"].to_numpy()
-        unit = _unit(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"])
+        unit, side = _unit(_list(t["v"])), t["block"].to_numpy()
         a = np.flatnonzero(side == i)
-        b = a if i == j else np.flatnonzero(side == j)
-        turned = unit @ axes
-        n_, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for p, q in compare(unit[a], unit[b], turned[a], turned[b], threshold, i == j):
-            p, q = a[p], b[q]
-            np.add.at(n_, p, mult[q])
-            np.add.at(n_, q, mult[p])
-            _merge(label, p, q)
-        on = n_ > 0
-        return pa.table({"id": pa.array(rep[on]), "n": pa.array(n_[on]), "root": pa.array(rep[label[on]])})
-
-    found = cut(sent.groupBy("i", "j").applyInArrow(pair, "id bigint, n bigint, root bigint"))
+        return _links(t["rep"].to_numpy(), t["mult"].to_numpy(), unit, unit @ axes, a, a if i == j else np.flatnonzero(side == j), threshold)
+
+    return sent.groupBy("i", "j").applyInArrow(pair, FOUND)
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, block: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding: an array of any numbers).
+
+    Vectors of different lengths link with each other never. Null, empty and zero vectors, vectors that hold null or non-finite components,
+    and rows with a null vec_id link with nothing. Repeated rows are vectors of their own.
+    Labels and other columns are ignored. block: vectors of a block, at most.
+    """
+    e = F.col("embedding")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    e = e.cast(f"array<{kind}>")
+    base = vectors.select("vec_id", e.alias("v"))
+    whole = F.size("v") > 0
+    finite = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == math.inf))
+    base = base.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & whole & finite & F.exists("v", lambda c: c != 0), F.lit(False)))
+    # -0 and 0 are equal
+    base = base.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + F.lit(0).cast(kind))))
+    rows = base.select("vec_id", "ok", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7919), "v").alias("h2"), "v")
+    classes = cut(rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")).withColumn("d", F.size("v")))
+    most = lambda d: block or max(1, BLOCK_BYTES // (8 * d))
+    # lengths of vectors: no more of them than the longest one has components
+    lengths = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = {d: n for d, n in lengths.items() if n > min(LEAST, most(d))}
+    found = classes.where(~F.col("d").isin(list(many))).groupBy("d").applyInArrow(_few(threshold), FOUND)
+    for d, n in many.items():
+        found = found.unionByName(_many(classes.where(F.col("d") == d), d, n, threshold, most(d)))
+    found = cut(found)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     info = classes.select("h1", "h2", "rep", "mult").join(counts, F.col("rep") == counts["id"], "left").drop("id").join(comp, F.col("rep") == comp["id"], "left").drop("id")
     out = rows.where("ok").select("vec_id", "h1", "h2").join(info, ["h1", "h2"])
     component = F.coalesce("component", "rep")
     linked = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
-    return linked.unionByName(alone(rows.where("not ok")))
+    return linked.unionByName(rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 ORACLE = r"""

@@ -146,3 +146,18 @@ def test_vectors(spark):
     assert vectordedup.near_duplicate_vectors(df.limit(0)).count() == 0
     null = df.select(F.lit(None).cast("bigint").alias("vec_id"), "embedding").limit(3)
     assert [tuple(r) for r in vectordedup.near_duplicate_vectors(null).collect()] == [(None, 0, None, True)] * 3
+
+
+def test_vectors_of_any_type_and_of_several_lengths(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = [list(map(float, x)) for d, n in ((3, 60), (2, 40), (7, 5), (1, 3)) for x in r.normal(size=(n, d))]
+    v += [[1.0, 2.0], [1.0, 2.0], [0.0, -0.0], [-0.0, 1.0], [0.0, 1.0], None]
+    want = sorted(brute.vectors(list(enumerate(v))), key=str)
+    assert any(w[1] for w in want if len(v[w[0]] or []) == 2)
+    monkeypatch.setattr(vectordedup, "LEAST", 30)
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(list(enumerate(v)), f"vec_id bigint, embedding array<{kind}>")
+        for block in (None, 8):
+            assert rows(vectordedup.near_duplicate_vectors(df, block=block)) == want
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [2, 4]), (3, [1, -2])], "vec_id bigint, embedding array<int>")
+    assert rows(vectordedup.near_duplicate_vectors(whole)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
