@@ -4,8 +4,9 @@ The automaton holds every substring of every template, as words. A file's words
 up in the templates' vocabulary; only runs of known words can match, and each such run is
 fed through the automaton, which keeps, word by word, the longest substring of any template
 that ends there. Matches that can't be extended and are long enough are chained per
-template, in order and with small gaps, into spans, whose covered share of the template
-decides on the label. Fixed phrases are counted beside it.
+template, at any of the places where it holds them, in order and with small gaps: of all chains, those that cover
+most of its words are its spans, and the share of its words they cover decides on the label. Words of gaps
+aren't covered. Fixed phrases are counted beside it.
 
 The automaton depends on the templates alone, is built once a worker, and the scan keeps
 nothing across files, so a lost task is simply run again.
@@ -13,6 +14,7 @@ nothing across files, so a lost task is simply run again.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,36 +29,43 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Public licence notices, in the words that files carry.
 TEMPLATES = {
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-reference": "released under the mit license",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "apache-2.0-reference": "licensed under the apache license version 2 0",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
     "gpl-reference": "this work is licensed under the gnu general public license version 3",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+    "agpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-3-endorsement": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "isc-notice": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "cc-by-reference": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-reference": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-short": "content available under cc by 4 0",
-    "warranty-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "cc0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 
 
 class Automaton:
-    """Generalised suffix automaton; mask[v]: templates that hold the state's strings, ends[v]: where one ends in each."""
+    """Generalised suffix automaton; ends[v]: by template, all places where the strings of a state end in it."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], least: int = 1):
+        """least: words of the shortest strings of which the places are wanted."""
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len, self.ends = [-1], [0], [{}]
         for t, seq in enumerate(sequences):
             last = 0
             for i, c in enumerate(seq):
                 last = self._extend(last, c)
-                self.ends[last].setdefault(t, i)
+                self.ends[last].setdefault(t, set()).add(i)
         for v in sorted(range(1, len(self.len)), key=lambda v: -self.len[v]):
             for t, i in self.ends[v].items():
-                if self.link[v]:
-                    have = self.ends[self.link[v]].get(t)
-                    self.ends[self.link[v]][t] = i if have is None else min(i, have)
+                if self.len[self.link[v]] >= least:
+                    self.ends[self.link[v]].setdefault(t, set()).update(i)
 
     def _new(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -114,7 +123,7 @@ class Scanner:
         order = np.argsort(hashed)
         self.hashes, number = hashed[order], {vocabulary[o]: i for i, o in enumerate(order)}
         self.sizes = [len(s) for s in sequences]
-        self.automaton = Automaton([[number[w] for w in s] for s in sequences])
+        self.automaton = Automaton([[number[w] for w in s] for s in sequences], least)
         self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases.items()]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -122,33 +131,56 @@ class Scanner:
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share of the template covered) of a file's template spans, whatever their share."""
+        """(label, first word, last word, share of the template covered) of a file's template spans, whatever their share; those of one template don't overlap."""
         known = np.concatenate([[False], ids >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
-        open_: dict[int, list[int]] = {}
-        out = []
-
-        def close(t: int) -> None:
-            first, last, _, covered = open_.pop(t)
-            out.append((self.labels[t], first, last, covered / self.sizes[t]))
-
+        places: dict[int, list[tuple[int, int, int]]] = {}
         for s, e in zip(edges[::2], edges[1::2], strict=True):
             if e - s < self.least:
                 continue
             for start, n, v in self.automaton.matches(ids[s:e].tolist(), self.least):
-                a = int(s) + start
-                for t, end in self.automaton.ends[v].items():
-                    have, first = open_.get(t), end - n + 1
-                    if have and a - have[1] - 1 <= self.gap and a + n - 1 > have[1] and end > have[2]:
-                        new = min(a + n - 1 - have[1], end - have[2])
-                        open_[t] = [have[0], a + n - 1, end, have[3] + new]
-                    else:
-                        if have:
-                            close(t)
-                        open_[t] = [a, a + n - 1, first + n - 1, n]
-        for t in list(open_):
-            close(t)
-        return sorted(out, key=lambda x: x[1:3])
+                for t, ends in self.automaton.ends[v].items():
+                    places.setdefault(t, []).extend((int(s) + start + n - 1, end, n) for end in ends)
+        out = []
+        for t, p in places.items():
+            out += [(self.labels[t], first, last, covered / self.sizes[t]) for first, last, covered in chains(p, self.gap)]
+        return sorted(out, key=lambda x: (x[1:3], x[0]))
+
+
+def chains(places: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(first, last, covered) of the best chains of places (last word in the file, in the template, number of words).
+
+    Each place of a chain ends after the one before it, in the file and in the template, with gap words between them in the file at
+    most; where they overlap, words count once. The chain that covers most words comes first (on ties, the one that ends, then starts, first), and
+    others only as far as they don't overlap one before.
+    """
+    places = sorted(places)
+    # covered words, first word, and the place before
+    best: list[tuple[int, int, int]] = []
+    low = 0
+    longest = max(n for _, _, n in places)
+    for k, (f, t, n) in enumerate(places):
+        while places[low][0] < f - longest - gap:
+            low += 1
+        mine = (n, f - n + 1, -1)
+        for j in range(low, k):
+            g, u, _ = places[j]
+            if g < f and u < t and f - n - g <= gap:
+                c = best[j][0] + min(n, f - g, t - u)
+                if (c, -best[j][1]) > (mine[0], -mine[1]):
+                    mine = (c, best[j][1], j)
+        best.append(mine)
+    out: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for k in sorted(range(len(places)), key=lambda k: (-best[k][0], places[k][0], best[k][1])):
+        covered, first, _ = best[k]
+        last = places[k][0]
+        at = bisect(taken, (first, last))
+        if (at and taken[at - 1][1] >= first) or (at < len(taken) and taken[at][0] <= last):
+            continue
+        taken.insert(at, (first, last))
+        out.append((first, last, covered))
+    return sorted(out)
 
 
 @lru_cache(4)
