@@ -33,8 +33,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The reading order of all documents that are left, by targets in whole slots of a cycle (tests hold it to these)."""
-    return mixing.mix(docs, mixing.quotas(docs))
+    """The reading order of all documents that are left, sources at the square roots of their sizes."""
+    return mixing.mix(docs)
 
 
 STAGES = [
