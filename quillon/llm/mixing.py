@@ -69,19 +69,6 @@ def plan(sources: DataFrame, cycle: int = 1000) -> DataFrame:
     return own.withColumn("q", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy("slot")) - 1)
 
 
-def quotas(docs: DataFrame, cycle: int = 1000, power: float = 0.5) -> DataFrame:
-    """(source, target): the size of a source to the given power, rounded to whole slots of a cycle, at least 1 each.
-
-    These are targets of their own, off the exact ones by up to a slot a cycle, more for hot sources among many.
-    """
-    w = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    share = docs.groupBy("source").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("target")).select("source", "target", F.sum("target").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
-    size = F.greatest(F.lit(cycle), F.col("n") * 2)
-    exact = share.select("source", (size - F.col("n")).alias("free"), (F.col("target") / F.col("total") * (size - F.col("n"))).alias("x"))
-    ranked = exact.select("source", F.floor("x").alias("f"), F.row_number().over(W.orderBy((F.col("x") - F.floor("x")).desc(), "source")).alias("r"), (F.col("free") - F.sum(F.floor("x")).over(w)).alias("rest"))
-    return ranked.select("source", (F.col("f") + 1 + F.when(F.col("r") <= F.col("rest"), 1).otherwise(0)).alias("target"))
-
-
 def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle: int = 1000, power: float = 0.5) -> DataFrame:
     """doc_id, source, rank, block, release, deadline, slot, place: the reading order is (slot, place).
 
@@ -123,30 +110,29 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle
     )
 
 
-ORACLE_TEMPLATE = r"""
-WITH RECURSIVE d AS ({docs}),
-n AS (SELECT source, sqrt(count(*)::DOUBLE) AS target FROM d GROUP BY source),
-sh AS (SELECT source, target, sum(target) OVER () AS total, count(*) OVER () AS n FROM n),
-ex AS (SELECT source, n, greatest(1000, n * 2) AS c, target / total * (greatest(1000, n * 2) - n) AS x FROM sh),
-rk AS (SELECT source, c, floor(x)::BIGINT AS f, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS r,
-  c - n - sum(floor(x)::BIGINT) OVER () AS rest FROM ex),
-qu AS (SELECT source, c, f + 1 + CASE WHEN r <= rest THEN 1 ELSE 0 END AS q FROM rk),
-l AS (SELECT max(c)::BIGINT AS c, list(source ORDER BY source) AS s, list(q::BIGINT ORDER BY source) AS q FROM qu),
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source FROM documents),
+n AS (SELECT source, sqrt(count(*)::DOUBLE) AS target, (count(*) + 7) // 8 AS b FROM d GROUP BY source),
+su AS (SELECT sum(target) AS total FROM n),
+mo AS (SELECT total, greatest(max(b * total / target), 1000.0) + 2 AS most, bool_and(target = floor(target)) AS ints FROM n, su GROUP BY total),
+sc AS (SELECT total, ints AND total * most < 4e18 AS whole, pow(10.0, least(15.0, floor(log10(4e18 / most)))) AS scale FROM mo),
+ro AS (SELECT source, b, CASE WHEN whole THEN target ELSE greatest(round(target / total * scale), 1.0) END::BIGINT AS w FROM n, sc),
+gc AS (SELECT list_reduce(list(w), lambda x, y: gcd(x, y)) AS g FROM ro),
+l AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list((w // g)::BIGINT ORDER BY source NULLS FIRST) AS q, list(b ORDER BY source NULLS FIRST) AS b,
+  sum(w // g)::BIGINT AS c FROM ro, gc),
+m AS (SELECT s, q, c, least(c, list_max(list_transform(q, lambda y, i: (b[i] * c + y - 1) // y)))::BIGINT AS slots FROM l),
 st AS (
-  SELECT 0::BIGINT AS t, list_transform(q, lambda y: 0::BIGINT) AS k, 0::BIGINT AS j FROM l
+  SELECT 0::BIGINT AS t, list_transform(q, lambda y: 0::BIGINT) AS k, 0::BIGINT AS j FROM m
   UNION ALL
   SELECT t + 1, list_transform(k, lambda v, i: CASE WHEN i = b THEN v + 1 ELSE v END), b FROM (
-    SELECT st.t, st.k, list_min(list_filter(list_transform(l.q, lambda y, i:
-      CASE WHEN st.k[i] * l.c <= st.t * y THEN (((st.k[i] + 1) * l.c + y - 1) // y) * 1000000 + i END), lambda z: z IS NOT NULL)) % 1000000 AS b
-    FROM st, l WHERE st.t < l.c)
+    SELECT st.t, st.k, list_min(list_filter(list_transform(m.q, lambda y, i:
+      CASE WHEN st.k[i] * m.c <= st.t * y THEN (((st.k[i] + 1) * m.c + y - 1) // y) * 1000000 + i END), lambda z: z IS NOT NULL)) % 1000000 AS b
+    FROM st, m WHERE st.t < m.slots)
 ),
-sl AS (SELECT l.s[st.j] AS source, l.q[st.j] AS q, l.c AS c, st.t - 1 AS slot, row_number() OVER (PARTITION BY st.j ORDER BY st.t) - 1 AS i
-  FROM st, l WHERE st.t > 0),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM d),
-b AS (SELECT r.*, rank // 8 AS block, qq.q, qq.c FROM r JOIN (SELECT DISTINCT source, q, c FROM sl) qq ON r.source IS NOT DISTINCT FROM qq.source)
-SELECT b.doc_id, b.source, b.rank, b.block, (b.block * b.c) // b.q AS release, ((b.block + 1) * b.c + b.q - 1) // b.q AS deadline,
-  (b.block // b.q) * b.c + sl.slot AS slot, b.rank % 8 AS place
-FROM b JOIN sl ON sl.source IS NOT DISTINCT FROM b.source AND sl.i = b.block % b.q
+sl AS (SELECT m.s[st.j] AS source, m.q[st.j] AS w, m.c AS c, m.slots AS slots, st.t - 1 AS slot, row_number() OVER (PARTITION BY st.j ORDER BY st.t) - 1 AS i,
+    count(*) OVER (PARTITION BY st.j) AS n FROM st, m WHERE st.t > 0),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM d)
+SELECT r.doc_id, r.source, r.rank, r.rank // 8 AS block, (r.rank // 8 * c) // w AS release, ((r.rank // 8 + 1) * c + w - 1) // w AS deadline,
+  (r.rank // 8 // n) * slots + sl.slot AS slot, r.rank % 8 AS place
+FROM r JOIN sl ON sl.source IS NOT DISTINCT FROM r.source AND sl.i = r.rank // 8 % n
 """
-
-ORACLE = ORACLE_TEMPLATE.format(docs="SELECT doc_id, source FROM documents")
