@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable
 
@@ -16,8 +17,11 @@ from quillon.functions.reply import parse_reply
 from quillon.functions.text import PROMPT_CAP, cap, clean_string, strip, truncate_text
 from quillon.operators import mails as M
 from quillon.plans.views import MAIL, OCR_P, P, table, v_blocks, v_flags, v_mail, v_ocr, v_replied, v_scored
-from quillon.sources.providers import by_lookup
-from quillon.sources.sinks import mail_reports
+from quillon.sources.eml import read_mails
+from quillon.sources.providers import by_lookup, interpret
+from quillon.sources.shared import cut, scratch
+from quillon.sources.sinks import load_json, mail_reports, report_entries, save_json, write_full_report
+from quillon.sources.writer import write_forms, write_mails
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,14 +384,99 @@ def drop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id || '.eml' AS file, 'Тема ' || page_id AS subject, 'a@b.example' AS sender, length(html) AS n, md5(html) AS md5 FROM pages")
 def eml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as mails by the executors into a shared folder, and read back by the folder scan."""
-    from quillon.sources.eml import read_mails
-    from quillon.sources.writer import write_mails
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="quillon-eml-") if base is None else f"{base}/quillon-eml-{abs(hash(sf_dir))}"
     pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".eml")).alias("file"), F.concat(F.lit("Тема "), F.col("page_id").cast("string")).alias("subject"), F.lit("a@b.example").alias("sender"), "html")
-    write_mails(pages, folder)
-    m = read_mails(spark, folder)
+    with scratch(spark) as folder:
+        write_mails(pages, folder)
+        return cut(read_mails(spark, folder).select("file", "subject", "sender", *_body()))
+
+
+def _body() -> list:
     # a message's text ends in a line break
     body = F.regexp_replace("html", r"\n$", "")
-    return m.select("file", "subject", "sender", F.char_length(body).alias("n"), F.md5(body).alias("md5"))
+    return [F.char_length(body).alias("n"), F.md5(body).alias("md5")]
+
+
+_FORMS = """f AS (SELECT page_id, page_id % 8 AS k, CASE page_id % 8 WHEN 0 THEN html WHEN 1 THEN html WHEN 2 THEN 'plain words of page ' || page_id WHEN 4 THEN 'plain words of page ' || page_id
+    WHEN 7 THEN html || '<img src="data:image/png;base64,' || to_base64(encode('data of ' || page_id)) || '">' ELSE '' END AS html, md5('image of ' || page_id) AS image FROM pages)"""
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.concat(F.lit('<img src="data:image/png;base64,'), F.base64(F.concat(F.lit("data of "), F.col("page_id").cast("string")).cast("binary")), F.lit('">'))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), F.when(F.col("page_id") % 8 == 7, F.concat("html", data)).otherwise(F.col("html")).alias("html"))
+
+
+@query(f"""WITH {_FORMS} SELECT page_id || '.eml' AS file, CASE WHEN k = 1 THEN 'Без темы' ELSE 'Тема ' || page_id END AS subject,
+  CASE WHEN k = 1 THEN 'Неизвестный отправитель' ELSE page_id || '@b.example' END AS sender, length(html) AS n, md5(html) AS md5,
+  CASE k WHEN 0 THEN 'p' || page_id || '.png <cid> ' || image WHEN 4 THEN 'image/gif - ' || image WHEN 5 THEN 'image/gif - ' || image
+    WHEN 7 THEN '<c' || page_id || '> <c' || page_id || '> ' || image || ',data_uri_0 - ' || md5('data of ' || page_id) ELSE '' END AS images FROM f WHERE k NOT IN (3, 6)""")
+def eml_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of many kinds, written and read back: missing and wrongly read headers, plain text, images of parts and of data URIs, lost and empty mails left out."""
+    with scratch(spark) as folder:
+        write_forms(_forms(spark, sf_dir), folder)
+        one = F.array_join(F.transform("images", lambda i: F.concat_ws(" ", i["source"], F.coalesce(i["content_id"], F.lit("-")), F.md5(i["bytes"]))), ",")
+        return cut(read_mails(spark, folder).select("file", "subject", "sender", *_body(), one.alias("images")))
+
+
+@query("SELECT page_id || '.eml' AS file, 'LookupError: unknown encoding: no-such-charset' AS error FROM pages WHERE page_id % 8 = 3")
+def eml_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as folder:
+        write_forms(_forms(spark, sf_dir), folder)
+        return cut(read_mails(spark, folder, keep_errors=True).where("error is not null").select("file", "error"))
+
+
+@query("SELECT page_id, url, length(html) AS n, md5(html) AS md5, page_id % 3 AS flag, 2 * page_id + 5e-1 AS score FROM pages")
+def report_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all mails as one JSON array, in a file on the driver, and its rows read back."""
+    mails = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("subject"), F.lit(None).cast("string").alias("sender"), "html")
+    analysis = mails.select("page_id", F.array((F.col("page_id") % 3).alias("f")).alias("flags"), (2 * F.col("page_id") + 0.5).alias("global_ai_score"), "html")
+    entries = report_entries(mails, analysis, "page_id")
+    handle, path = tempfile.mkstemp(suffix=".json")
+    os.close(handle)
+    write_full_report(entries, path, "page_id")
+    with open(path, encoding="utf8") as f:
+        whole = spark.createDataFrame([(f.read(),)], "j string")
+    os.remove(path)
+    back = whole.select(F.explode(F.from_json("j", f"array<{entries.schema.simpleString()}>")).alias("e")).select("e.*")
+    return back.select("page_id", F.col("email.subject").alias("url"), F.char_length("analysis.html").alias("n"), F.md5("analysis.html").alias("md5"), F.col("analysis.flags")[0].alias("flag"), F.col("analysis.global_ai_score").alias("score"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS md5 FROM conversations")
+def json_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved as cleaned JSON lines into the shared folder and loaded again, bytes that aren't UTF-8 gone."""
+    t = table(spark, sf_dir, "conversations")
+    broken = F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xff\xc3"))).cast("string")
+    value = F.struct(F.array(broken).alias("texts"), F.create_map("role", F.struct("turn")).alias("turns"))
+    with scratch(spark) as folder:
+        save_json(t.select("conv_id", value.alias("v")), f"{folder}/j")
+        back = load_json(spark, f"{folder}/j", "conv_id bigint, v struct<texts: array<string>, turns: map<string, struct<turn: bigint>>>")
+        role = F.map_keys("v.turns")[0]
+        return cut(back.select("conv_id", F.map_values("v.turns")[0]["turn"].alias("turn"), role.alias("role"), F.md5(F.col("v.texts")[0]).alias("md5")))
+
+
+# --- recorded answers of a service
+
+_ANSWERS = (
+    ("concat('Sure: {\"ai_probability\": ', cast(doc_id % 101 as string), ', \"flags\": [\"A\"], \"summary\": \"s\"} done')", None),
+    (None, "'HTTP 503'"),
+    (None, "'Ошибка парсинга'"),
+    ("'no object here'", None),
+    (None, "'timed out'"),
+    ("concat('{\"ai_probability\": ', cast(doc_id as string))", None),
+)
+_CASE = lambda k: "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {a[k]}" for i, a in enumerate(_ANSWERS) if a[k]) + " END"
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpret(table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(_CASE(0)).alias("reply"), F.expr(_CASE(1)).alias("wrong")))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN (doc_id % 101)::VARCHAR ELSE '0' END AS ai_probability, CASE doc_id % 6 WHEN 0 THEN 'A' ELSE '' END AS flags,
+  CASE doc_id % 6 WHEN 0 THEN 's' WHEN 1 THEN 'HTTP 503' WHEN 4 THEN 'timed out' ELSE 'Ошибка парсинга' END AS summary,
+  CASE doc_id % 6 WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'Ошибка парсинга' WHEN 4 THEN 'timed out' ELSE 'ok' END AS status FROM documents""")
+def recorded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, sf_dir).select("doc_id", "ai_probability", F.array_join("flags", ",").alias("flags"), "summary", "status")
+
+
+@query("SELECT source, count(*) AS n, sum(CASE WHEN doc_id % 6 = 0 THEN doc_id % 101 ELSE 0 END)::DOUBLE / count(*) AS mean FROM documents GROUP BY source")
+def failures_stay_in_the_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("ai_probability").cast("long")).cast("double") / F.count(F.lit(1))).alias("mean"))

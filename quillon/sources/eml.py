@@ -15,6 +15,7 @@ from quillon.functions.images import data_uri_images
 from quillon.operators.mails import drop_rule
 
 NO_SUBJECT, NO_SENDER = "Без темы", "Неизвестный отправитель"
+BATCH_BYTES, SHARE = 4 << 20, 64
 PARSED = "file string, subject string, sender string, html string, images array<struct<source: string, bytes: binary, content_id: string>>, error string"
 
 
@@ -74,12 +75,24 @@ def parse_mail(content: bytes) -> dict:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("source", pa.string()), ("bytes", pa.binary()), ("content_id", pa.string())]))
+    names = ["file", "subject", "sender", "html", "images", "error"]
+    kinds = [pa.string()] * 4 + [kind, pa.string()]
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    rows, size = [], 0
     for batch in batches:
-        # one mail at a time, as their sizes are anything
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            m = parse_mail(content.as_buffer().to_pybytes() if content.is_valid else b"")
-            name = re.sub(r".*/", "", path.as_py() or "")
-            yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([m[k]], pa.string()) for k in ("subject", "sender", "html")), pa.array([m["images"]], kind), pa.array([m["error"]], pa.string())], names=["file", "subject", "sender", "html", "images", "error"])
+            raw = content.as_buffer().to_pybytes() if content.is_valid else b""
+            rows.append(parse_mail(raw) | {"file": re.sub(r".*/", "", path.as_py() or "")})
+            size += len(raw)
+            # mails are of any size
+            if size > BATCH_BYTES or len(rows) >= 1024:
+                yield out(rows)
+                rows, size = [], 0
+    if rows:
+        yield out(rows)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -93,8 +106,8 @@ def read_mails(spark: SparkSession, folder: str, partitions: int | None = None,
     """file, subject, sender, html, images of every *.eml directly in the folder; an empty folder gives no rows.
 
     Mails that don't parse, or have neither body nor image, are left out; keep_errors returns all, with error set.
-    partitions spreads many small files over the cluster before they are parsed.
+    A task reads many files, of which there are SHARE tasks a core at most; partitions spreads a few large ones by a shuffle instead.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
-    parsed = parse_files(files.repartition(partitions) if partitions else files)
+    parsed = parse_files(files.repartition(partitions) if partitions else files.coalesce(SHARE * spark.sparkContext.defaultParallelism))
     return parsed if keep_errors else drop_rule(parsed.where("error is null")).drop("error")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.html import detect_flags
 from quillon.functions.reply import parse_reply
-from quillon.functions.text import PROMPT_CAP, cap
+from quillon.functions.text import PROMPT_CAP
 
 PARSE_ERROR = "Ошибка парсинга"
 
@@ -96,12 +96,14 @@ def by_service(contents: DataFrame, service: Service) -> DataFrame:
                 _called()
                 yield pa.RecordBatch.from_arrays([pa.array([content]), pa.array([text], pa.string()), pa.array([wrong], pa.string())], names=["content", "reply", "wrong"])
 
-    asked = contents.select("content").where("content is not null").distinct().mapInArrow(run, "content string, reply string, wrong string")
-    parsed = asked.withColumn("r", parse_reply(F.coalesce("reply", F.lit(""))))
-    lost = ~F.coalesce("reply", F.lit("")).rlike(r"(?s)\{.*\}")
-    summary = F.coalesce(F.col("wrong"), F.when(lost, F.lit(PARSE_ERROR)), F.col("r.summary"))
-    return parsed.select("content", "r.ai_probability", "r.flags", summary.alias("summary"), F.coalesce("wrong", F.lit("ok")).alias("status"))
+    return interpret(contents.select("content").where("content is not null").distinct().mapInArrow(run, "content string, reply string, wrong string"))
 
 
-def prompt(content: Column) -> Column:
-    return cap(content, PROMPT_CAP)
+def interpret(asked: DataFrame) -> DataFrame:
+    """asked (content, and its reply or what went wrong; other columns stay) with ai_probability, flags, summary, status; failures score 0 and say why."""
+    reply = F.coalesce("reply", F.lit(""))
+    parsed = asked.withColumn("q_r", parse_reply(F.when(F.col("wrong").isNull(), reply).otherwise("")))
+    lost = ~reply.rlike(r"(?s)\{.*\}")
+    summary = F.coalesce(F.col("wrong"), F.when(lost, F.lit(PARSE_ERROR)), F.col("q_r.summary"))
+    rest = [c for c in asked.columns if c not in ("reply", "wrong")]
+    return parsed.select(*rest, "q_r.ai_probability", "q_r.flags", summary.alias("summary"), F.coalesce("wrong", F.lit("ok")).alias("status"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillon.functions.text import timestamp, truncate_text
+from quillon.functions.text import clean_json_data, timestamp, truncate_text
 
 
 def report_entries(mails: DataFrame, analysis: DataFrame, key: str = "file") -> DataFrame:
@@ -34,6 +35,20 @@ def write_full_report(entries: DataFrame, path: str, key: str = "file") -> int:
     return n
 
 
+def save_json(df: DataFrame, path: str) -> None:
+    """JSON lines in a folder, of df with all its strings cleaned."""
+    df.select(*[clean_json_data(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Rows of a file that is one JSON array or object, or of a folder of JSON lines; without a schema, all is read once more to find it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    first = next(iter(spark.read.text(path, wholetext=False).where("trim(value) <> ''").limit(1).collect()), [""])[0].strip()
+    # one value over several lines, unless each line is whole
+    lines = first.startswith("{") and first.endswith("}")
+    return reader.option("multiLine", not lines).json(path)
+
+
 def mail_reports(mails: DataFrame, analysis: DataFrame, key: str = "file") -> DataFrame:
     """key, timestamp, email (with a preview of the body), analysis (with a summary of the blocks)."""
     a = analysis.select(F.col(key).alias("q_key"), *[F.col(c) for c in analysis.columns if c != key])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import http.server
 import json
+import os
 import re
 import threading
 from email.message import EmailMessage
@@ -15,8 +16,8 @@ from quillon.functions.html import FLAGS, detect_flags, split_blocks
 from quillon.functions.images import data_uri_images
 from quillon.operators import mails as M
 from quillon.plans.analyze import analyze_mails, process_directory
-from quillon.sources import eml, providers
-from quillon.sources.sinks import mail_reports, write_mail_reports
+from quillon.sources import eml, providers, shared
+from quillon.sources.sinks import load_json, mail_reports, save_json, write_mail_reports
 from quillon.sources.writer import to_eml
 from quillon.streaming.mails import watch_folder
 
@@ -221,3 +222,38 @@ def test_stream(spark, folder, tmp_path):
     q = watch_folder(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_json_is_cleaned_saved_and_loaded(spark, tmp_path):
+    kind = "struct<s: string, l: array<struct<t: string, n: int>>, m: map<string, array<string>>>"
+    raw = spark.createDataFrame([(1, b"a\xffb\xc3", "� ok"), (2, None, None)], "id int, b binary, t string")
+    s = F.col("b").cast("string")
+    value = F.struct(s.alias("s"), F.array(F.struct(s.alias("t"), F.lit(3).alias("n"))).alias("l"), F.create_map(F.coalesce(s, F.lit("k")), F.array("t", s)).alias("m"))
+    df = raw.select("id", F.when(F.col("id") == 1, value).alias("v"))
+    save_json(df, str(tmp_path / "lines"))
+    one, none = load_json(spark, str(tmp_path / "lines"), f"id int, v {kind}").orderBy("id").collect()
+    assert one.v.asDict(True) == {"s": "ab", "l": [{"t": "ab", "n": 3}], "m": {"ab": ["� ok", "ab"]}} and none.v is None
+    for text, n in (('[\n  {"a": 1},\n  {"a": 2}\n]', 2), ('{\n "a": 1\n}', 1), ('{"a": 1}\n{"a": 2}', 2), ("[]", 0)):
+        (tmp_path / "x.json").write_text(text)
+        assert load_json(spark, str(tmp_path / "x.json"), "a int").count() == n
+
+
+def test_answers_that_went_wrong(spark):
+    rows = [('x {"ai_probability": 7, "flags": "A", "summary": null}', None), ('{"ai_probability": 7}', "HTTP 500"), (None, None), ("", None), ("none", None)]
+    got = providers.interpret(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, reply string, wrong string")).orderBy("i").collect()
+    assert [r.ai_probability for r in got] == ["7", "0", "0", "0", "0"]
+    assert [r.status for r in got] == ["ok", "HTTP 500", "ok", "ok", "ok"]
+    assert [r.summary for r in got] == ["", "HTTP 500"] + [providers.PARSE_ERROR] * 3
+
+
+def test_shared_folder_is_gone_and_needs_a_name_on_a_cluster(spark, monkeypatch):
+    with shared.scratch(spark) as folder:
+        kept = shared.cut(shared.stored(spark.range(9), folder).where("id > 3"))
+    assert kept.count() == 5 and not os.path.exists(re.sub("^file:/*", "/", folder))
+
+    class Elsewhere:
+        master = "spark://there"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    with pytest.raises(RuntimeError):
+        shared.ensure_checkpoint_dir(type("Session", (), {"sparkContext": Elsewhere, "conf": type("C", (), {"get": lambda self, k, d: d})()})())
