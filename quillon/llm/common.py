@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import cut, scratch, stored  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space as the operators understand it.
@@ -40,45 +37,6 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset, and never on a cluster."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        where = tempfile.mkdtemp(prefix="quillon-checkpoint-")
-    sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """A folder in the cluster's shared folder, gone afterwards: what comes of its tables must be cut before."""
-    where = f"{ensure_checkpoint_dir(spark)}/quillon-{uuid.uuid4().hex}"
-    try:
-        yield where
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """A table in the cluster's shared folder, or in a scratch folder there: written once, then read by several later jobs."""
-    where = f"{folder or ensure_checkpoint_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """q_row, the whole row, beside doc_id: whatever else docs' columns are called, they can't clash. The text is q_row.text."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col("doc_id"))
