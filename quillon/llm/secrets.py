@@ -43,38 +43,60 @@ CHANGE = 0.1
 _ANY = ("mixed", "", _UP + _LOW + _DIGITS + "+/-_", 3.4)
 
 
+#: Matches that are walked one after the other; the walks of a text's parts are put together afterwards.
+WALK = 256
+
+
 def _spans(t: Column, pattern: str, kind: int, value: int | None = None, least: int = 0) -> Column:
-    """Array of (s, e, k) of the leftmost non-overlapping matches, in code points; of those whose group value has least characters."""
+    """Array of (s, e, k, m) of the leftmost non-overlapping matches m, in code points; of those whose group value has least characters.
+
+    Appending to an array copies it, so matches are walked WALK at a time, and each part is then moved to where it starts:
+    time grows with the text.
+    """
     matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     lengths = F.transform(matches, lambda m: F.char_length(m))
     before = F.transform(F.split(t, pattern, -1), lambda p: F.char_length(p))
     sizes = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(value)), lambda m: F.char_length(m)) if value else lengths
-    empty = F.array().cast("array<struct<s:int,e:int,k:int>>")
-    walked = F.aggregate(
-        F.arrays_zip(before.alias("b"), lengths.alias("n"), sizes.alias("v")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["v"] >= least, F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("s"), (a["at"] + x["b"] + x["n"]).alias("e"), F.lit(kind).alias("k"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(t.rlike(pattern), walked).otherwise(empty)
+    empty = F.array().cast("array<struct<s:int,e:int,k:int,m:string>>")
+    z = F.arrays_zip(before.alias("b"), lengths.alias("n"), sizes.alias("v"), matches.alias("m"))
+
+    def walk(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        place = lambda a, x: F.struct((a["at"] + x["b"]).alias("s"), (a["at"] + x["b"] + x["n"]).alias("e"), F.lit(kind).alias("k"), x["m"].alias("m"))
+        return F.aggregate(part, start, lambda a, x: F.struct((a["at"] + x["b"] + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["v"] >= least, F.concat(a["out"], F.array(place(a, x)))).otherwise(a["out"]).alias("out")))
+
+    def together(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, none, lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+        moved = lambda p, s: F.transform(p["out"], lambda x: F.struct((x["s"] + s).alias("s"), (x["e"] + s).alias("e"), x["k"].alias("k"), x["m"].alias("m")))
+        return F.flatten(F.zip_with(parts, starts, moved))
+
+    # arrays of one element name what is used more than once
+    parts = F.transform(F.array(z), lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WALK).cast("int")), lambda c: walk(F.slice(a, c * WALK + 1, F.lit(WALK)))))
+    return F.when(t.rlike(pattern), F.transform(parts, together)[0]).otherwise(empty)
+
+
+def _ordered(spans: Column) -> Column:
+    """(s, e, k) by start, then kind."""
+    by = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+    return F.transform(by, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs' doc_id and text (null: empty) with th (its hash) and base, the spans of the fixed patterns in order."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    base = F.array_sort(F.concat(_spans(F.col("t"), ASSIGN, 0, 2, 12), _spans(F.col("t"), ACCESS, 1), _spans(F.col("t"), HEX, 2)))
-    # ordered by start, then kind
-    order = F.transform(F.array_sort(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
-    return t.select("doc_id", F.xxhash64("t").alias("th"), "t", order.alias("base"))
+    base = F.concat(_spans(F.col("t"), ASSIGN, 0, 2, 12), _spans(F.col("t"), ACCESS, 1), _spans(F.col("t"), HEX, 2))
+    return t.select("doc_id", F.xxhash64("t").alias("th"), "t", _ordered(base).alias("base"))
 
 
 def _phi(z: Column) -> Column:
-    """Normal distribution function, by a logistic with a cubic term (error below 2e-4)."""
-    z = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.070566 * z * z * z)))
+    """Normal distribution function: the density times a polynomial in 1 / (1 + 0.23 |z|) or, in the tails, a continued fraction."""
+    x = F.least(F.lit(37.0), F.abs(z))
+    t = 1 / (1 + 0.2316419 * x)
+    near = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    far = 1 / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65)))))
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * F.when(x < 3, near).otherwise(far)
+    return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
 def battery(tokens: DataFrame) -> DataFrame:
@@ -91,7 +113,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     x = x.withColumns({"n": F.char_length("core"), "k": F.char_length("alphabet"), "at": F.transform(F.split("core", ""), lambda c: F.instr(F.col("alphabet"), c))})
     x = x.withColumn("at", F.filter("at", lambda v: v > 0))
     zero = F.lit(0.0)
-    squares = F.aggregate(F.sequence(F.lit(1), F.col("k")), zero, lambda a, c: a + F.pow(F.size(F.filter("at", lambda v: v == c)).cast("double"), F.lit(2.0)))
+    same = F.regexp_extract_all(F.array_join(F.array_sort(F.split("core", "")), ""), F.lit(r"((.)\2*)"), F.lit(1))
+    squares = F.aggregate(same, zero, lambda a, c: a + F.pow(F.char_length(c).cast("double"), F.lit(2.0)))
     x = x.withColumn("chi2", F.col("k") * squares / F.col("n") - F.col("n"))
     df = F.col("k") - 1
     x = x.withColumn("z_chi", (F.pow(F.greatest(F.col("chi2"), zero) / df, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df)))
@@ -132,17 +155,18 @@ def discoveries(tested: DataFrame, q: float = 0.05) -> DataFrame:
     # at most 12 * GRID + 2 rows
     bins = x.groupBy("step").agg(F.count(F.lit(1)).alias("c"))
     w = W.orderBy(F.desc("step"))
+    # over the bins, not the rows
     cum = bins.select("step", F.sum("c").over(w).alias("rank"), F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("m"))
     good = cum.where((F.col("step") >= 0) & (F.pow(F.lit(10.0), -F.col("step") / GRID) <= q * F.col("rank") / F.col("m")))
-    least = good.agg(F.min("step").alias("least"))
-    return x.join(F.broadcast(least), F.col("step") >= F.col("least")).drop("step", "least")
+    least = good.agg(F.min("step")).first()[0]
+    return x.where(F.col("step") >= F.lit(least)).drop("step")
 
 
 def random_spans(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """doc_id, th, s, e of the tokens found by the battery."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    c = t.select("doc_id", F.xxhash64("t").alias("th"), "t", F.explode(_spans(F.col("t"), CANDIDATE, 3)).alias("x"))
-    c = c.select("doc_id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.expr("substring(t, x.s + 1, x.e - x.s)").alias("token"))
+    c = t.select("doc_id", F.xxhash64("t").alias("th"), "t", F.explode(_spans(F.col("t"), CANDIDATE, 3)).alias("x")).drop("t")
+    c = c.select("doc_id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("token"))
     # positions and statistics of candidates only, used twice below
     return discoveries(cut(battery(c)), q).select("doc_id", "th", "s", "e", "encoding")
 
@@ -158,8 +182,7 @@ def secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     j = base.join(more, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("th") == F.col("q_th")), "left")
     new = F.expr("filter(more, m -> not exists(base, b -> b.s <= m.s and m.e <= b.e))")
     both = F.concat("base", F.coalesce(new, F.array().cast("array<struct<s:int,e:int,k:int>>")))
-    order = F.transform(F.array_sort(F.transform(both, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
-    return j.select("doc_id", "base", order.alias("spans"))
+    return j.select("doc_id", "base", _ordered(both).alias("spans"))
 
 
 def _join(spans: Column) -> Column:
