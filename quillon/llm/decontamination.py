@@ -6,7 +6,8 @@ for its rarest words only. Their postings (word, document, position) are stored
 shared folder, every list is shifted by the word's offset in the window, and the shifted
 lists are intersected by window, document and start. For loose matches the unshifted
 lists are intersected by window, document and overlapping stretches of it. What is left
-is confirmed word by word on the document itself, which then reports its covered words.
+is confirmed word by word on the documents in question, which then report their covered words; no other
+document's text is ever moved.
 
 The benchmark doesn't grow with the corpus; its words are broadcast after a check of their
 number and joined by shuffle beyond that. Postings are spread by document, so that a word
@@ -82,35 +83,54 @@ _NEAR_STARTS = """if(size(array_except(c.terms, slice(q_words, c.start + 1, 2 *
     filter(sequence(c.start, c.start + c.span - 1), p -> size(array_except(c.terms, slice(q_words, p + 1, c.span))) = 0))"""
 
 
-def _per_document(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | None = None) -> DataFrame:
-    """q_row, doc_id, q_words and the confirmed candidates: q_ok, exact ones, and q_near, those within slop, where it is given."""
+#: Documents in question whose ids are broadcast, at most; 64 bits each.
+CANDIDATES = 1_000_000
+
+
+def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """q_id, q_th and q_words of the documents that found (q_id, q_th) names, each once."""
+    keys = small_enough(found.select(F.xxhash64("q_id", "q_th").alias("q_key")).distinct(), CANDIDATES)
+    here = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_th"), F.col("text").alias("d_text"))
+    texts = here.join(keys, F.xxhash64("d_id", "d_th") == F.col("q_key"), "left_semi").dropDuplicates(["d_id", "d_th"])
+    return found.join(texts, F.col("q_id").eqNullSafe(F.col("d_id")) & (F.col("q_th") == F.col("d_th"))).select(*found.columns, words(F.col("d_text")).alias("q_words"))
+
+
+def _confirmed(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | None = None) -> DataFrame:
+    """q_id, q_th and the confirmed candidates of the documents that have any: q_ok, exact ones, and q_near, those within slop, where it is given."""
     index = _index(docs, benchmark, size)
     found = _exact(*index).withColumn("span", F.lit(None).cast("int"))
     if slop is not None:
         found = found.unionByName(_near(*index, slop))
     found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms", "span")).alias("q_found"))
-    found = found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")
-    joined = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text")).join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left").drop("q_id", "q_th", "q_hash")
-    joined = joined.withColumn("q_words", words(F.col("q_row.text")))
-    joined = joined.withColumn("q_ok", F.expr("filter(q_found, c -> c.span is null and c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)"))
-    return joined if slop is None else joined.withColumn("q_near", F.expr(f"filter(q_found, c -> c.span is not null and size({_NEAR_STARTS}) > 0)"))
+    there = _texts(docs, cut(found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")))
+    ok = F.expr("filter(q_found, c -> c.span is null and c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)").alias("q_ok")
+    near = F.expr(f"filter(q_found, c -> c.span is not null and size({_NEAR_STARTS}) > 0)").alias("q_near")
+    return there.select("q_id", "q_th", ok, *([] if slop is None else [near]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; columns as in docs. Null text has no words and stays."""
-    marked = _per_document(docs, benchmark, size)
-    return marked.where(F.coalesce(F.size("q_ok"), F.lit(0)) <= 0).select("q_row.*")
+    hit = small_enough(cut(_confirmed(docs, benchmark, size).where(F.size("q_ok") > 0).select("q_id", "q_th")))
+    here = packed(docs).withColumn("q_hash", F.xxhash64("q_row.text"))
+    return here.join(hit, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")), "left_anti").select("q_row.*")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
     """doc_id, item_id, win, start: places where all words of a window stand within its length + 2 * slop words, in any order.
 
     Repeated words of a window count once. start is the first of each run of such places in a bin of two such lengths.
+    Null and empty texts, windows and tables give no rows; repeated rows give theirs once; a null doc_id is an id.
     """
     found = _near(*_index(docs, benchmark, size), slop).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), F.struct("item_id", "win", "start", "terms", "span").alias("c"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("q_hash"), words(F.col("text")).alias("q_words"))
-    j = base.join(found, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_hash") == F.col("q_th")))
-    return j.select("doc_id", "c.item_id", "c.win", F.expr(f"array_min({_NEAR_STARTS})").alias("start")).where("start is not null").distinct()
+    j = _texts(docs, cut(found))
+    return j.select(F.col("q_id").alias("doc_id"), "c.item_id", "c.win", F.expr(f"array_min({_NEAR_STARTS})").alias("start")).where("start is not null").distinct()
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | None = None) -> DataFrame:
+    """doc_id and n_words of every row, and what _confirmed has of it."""
+    there = _confirmed(docs, benchmark, size, slop)
+    here = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return here.join(there, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("th") == F.col("q_th")), "left")
 
 
 def _digest() -> list[Column]:
@@ -119,7 +139,7 @@ def _digest() -> list[Column]:
     n_hit = F.when(F.col("q_ok").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long")
     return [
         F.col("doc_id"),
-        F.size("q_words").cast("long").alias("n_words"),
+        F.col("n_words"),
         n_hit.alias("n_hit"),
         F.when(F.col("q_ok").isNull(), F.lit(0)).otherwise(F.size(items)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join(items, ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
@@ -132,13 +152,13 @@ def digest(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
     Repeated rows of docs give repeated rows; an empty benchmark hits nothing; items of fewer words than a window are one window.
     """
-    marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size)
+    marked = _marked(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size)
     return marked.select(*_digest())
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
     """digest's columns, and n_near and near_items (comma-separated): the items of which all words of a window stand together as in proximity()."""
-    marked = _per_document(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size, slop)
+    marked = _marked(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size, slop)
     items = F.coalesce(F.expr("array_sort(array_distinct(transform(q_near, c -> cast(c.item_id as string))))"), F.array().cast("array<string>"))
     return marked.select(*_digest(), F.size(items).cast("long").alias("n_near"), F.array_join(items, ",").alias("near_items"))
 
@@ -156,8 +176,17 @@ sh AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS p FROM plac
 hit AS (SELECT sh.doc_id, sh.i, sh.n, win.item_id FROM sh JOIN win ON sh.p = win.p AND sh.n = win.n),
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS o FROM hit) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+ww AS (SELECT item_id, p, n + 10 AS span, list_distinct(string_split(p, ' ')) AS l FROM win),
+wd AS (SELECT item_id, p, span, len(l) AS m, unnest(l) AS w FROM ww),
+tk AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM dw),
+tw AS (SELECT * FROM tk WHERE w IN (SELECT w FROM wd)),
+pr AS (SELECT doc_id, item_id, p FROM (SELECT DISTINCT doc_id, w FROM tw) x JOIN wd USING (w) GROUP BY doc_id, item_id, p, m HAVING count(*) = m),
+po AS (SELECT pr.doc_id, pr.item_id, pr.p, wd.m, wd.span, wd.w, tw.pos FROM pr JOIN wd ON wd.item_id = pr.item_id AND wd.p = pr.p JOIN tw ON tw.doc_id = pr.doc_id AND tw.w = wd.w),
+nr AS (SELECT a.doc_id, a.item_id FROM po a JOIN po b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.p = a.p AND b.pos BETWEEN a.pos AND a.pos + a.span - 1
+  GROUP BY a.doc_id, a.item_id, a.p, a.pos, a.m HAVING count(DISTINCT b.w) = a.m),
+ni AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM nr) GROUP BY doc_id)
 SELECT dw.doc_id, len(ws) AS n_words, coalesce(cov.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
-  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN cov ON dw.doc_id = cov.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AS contaminated, coalesce(ni.n_near, 0) AS n_near, coalesce(ni.near_items, '') AS near_items
+FROM dw LEFT JOIN cov ON dw.doc_id = cov.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id LEFT JOIN ni ON dw.doc_id = ni.doc_id
 """
