@@ -1,10 +1,9 @@
 """Exact line deduplication with DataFrame functions only.
 
-Lines are known by a 128-bit hash of their normalised key. Every document first
-reduces its own lines to distinct keys, so the count of documents per key and the
-last document holding it are plain partial aggregates: a line that a third of the
-corpus shares costs one row per map task. Only lines of repeated keys are then
-sorted by hash, document and position, and what comes back per document is a
+Lines are known by a 128-bit hash of their normalised key. Keys that very many documents hold are found first, by
+partial aggregates, and their lines are decided where they stand, against a broadcast list of bounded size. All other lines are partitioned by ranges of the hash
+and sorted by hash, document and position, so that one stream over a range meets the occurrences of a key
+one after the other, tells the document that keeps them from the others, and counts the documents. What comes back per document is a
 compressed bitmap of dropped lines (64-line words, absent where nothing is dropped),
 never text.
 """
@@ -13,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quillon.llm.common import BLANKS, ascii_lower, packed
+from quillon.llm.common import BLANKS, ascii_lower, cut, packed, scratch, small_enough, stored
 
 
 def _lines(text: Column) -> Column:
@@ -29,38 +29,36 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(20011), key).alias("h2")]
 
 
+#: A key is hot if one document in so many holds it: there are at most so many hot keys for each line that a document has on average.
+HOT = 1000
+
+
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per document that loses lines: doc_id, th (hash of its text), drops (map of word to 64 bits).
 
     A line is dropped if its key (blanks stripped, A-Z lower-cased) has at least min_chars code points,
-    occurs in at least min_docs documents, and the document isn't the one of largest doc_id holding it.
-    Rows that share a doc_id count as documents of their own; all those of the largest id keep the line.
-    A null doc_id ranks below all others. Null text is one empty line. An empty table gives no rows.
+    occurs in documents of at least min_docs different doc_ids, and the document isn't the one of largest doc_id holding it.
+    Rows that share a doc_id are one document for this count; all those of the largest id keep the line.
+    A null doc_id is an id that ranks below all others. Null text is one empty line. An empty table gives no rows.
     """
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").alias("body"))
-    distinct = base.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("body")), line_key))).alias("k"))
-    last = (
-        distinct.where(F.char_length("k") >= min_chars)
-        .select("doc_id", *_hashes(F.col("k")))
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-        .where((F.col("n") >= min_docs) & F.col("last").isNotNull())
-        .select("h1", "h2", "last")
-    )
-    at = (
-        base.select("doc_id", "th", F.posexplode(_lines(F.col("body"))).alias("pos", "line"))
-        .select("doc_id", "th", "pos", line_key(F.col("line")).alias("k"))
-        .where(F.char_length("k") >= min_chars)
-        .select("doc_id", "th", "pos", *_hashes(F.col("k")))
-    )
-    hit = at.join(last, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
-    word = F.expr("pos div 64").cast("int")
-    return (
-        hit.groupBy("doc_id", "th", word.alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-        .groupBy("doc_id", "th")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("drops"))
-    )
+    spark = docs.sparkSession
+    body = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "k"))
+    with scratch(spark) as folder:
+        lines = stored(body.where(F.char_length("k") >= min_chars).select("doc_id", "th", "pos", *_hashes(F.col("k"))), folder)
+        # distinct first: a hot key's rows are spread by document before they are counted
+        held = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+        most = max(min_docs, -(-docs.count() // HOT))
+        hot = small_enough(cut(held.where(F.col("n") >= most)))
+        there = lines.join(hot.select("h1", "h2", "last"), ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
+        rest = lines.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc_nulls_last("doc_id"), "pos")
+        key = W.partitionBy("h1", "h2")
+        # rank 1 keeps its lines; the last document's rank is the number of documents
+        rest = rest.withColumn("r", F.dense_rank().over(key.orderBy(F.desc_nulls_last("doc_id")))).withColumn("n", F.max("r").over(key))
+        rest = rest.where((F.col("n") >= min_docs) & (F.col("r") > 1))
+        hit = there.select("doc_id", "th", "pos").unionByName(rest.select("doc_id", "th", "pos"))
+        word = F.expr("pos div 64").cast("int")
+        bits = hit.groupBy("doc_id", "th", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+        return cut(bits.groupBy("doc_id", "th").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("drops")))
 
 
 def mark_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -90,16 +88,21 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
 
 def digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 and the compressed bitmap of dropped lines."""
+    """doc_id, n_lines, n_dropped, kept_sha256, and dropped, the bitmap of dropped lines: word:bits of each word of 64 lines that loses any, comma-joined.
+
+    A null text is one empty line and drops nothing; repeated rows give repeated rows; an empty table gives none.
+    """
     marked = mark_lines(docs.select("doc_id", "text"), min_chars, min_docs)
     text = F.coalesce(F.col("q_row.text"), F.lit(""))
     kept = F.when(F.col("q_drops").isNull(), text).otherwise(_keep(text, F.col("q_drops")))
+    unsigned = lambda b: F.when(b >= 0, b.cast("string")).otherwise((b.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"))
     dropped = F.aggregate(F.coalesce(F.map_values("q_drops"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b))
     return marked.select(
         "doc_id",
         (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
         dropped.alias("n_dropped"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce(F.array_join(F.transform(F.map_entries("q_drops"), lambda e: F.concat_ws(":", e["key"].cast("string"), unsigned(e["value"]))), ","), F.lit("")).alias("dropped"),
     )
 
 
@@ -109,8 +112,10 @@ ex AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS po
 keyed AS (SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM ex),
 rep AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT e.doc_id, e.line, e.pos, (r.k IS NOT NULL AND e.doc_id < r.last) AS gone FROM keyed e LEFT JOIN rep r ON e.k = r.k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+marked AS (SELECT e.doc_id, e.line, e.pos, (r.k IS NOT NULL AND e.doc_id < r.last) AS gone FROM keyed e LEFT JOIN rep r ON e.k = r.k),
+wo AS (SELECT doc_id, (pos - 1) // 64 AS word, sum(1::HUGEINT << ((pos - 1) % 64)) AS bits FROM marked WHERE gone GROUP BY ALL),
+bm AS (SELECT doc_id, string_agg(word || ':' || bits::HUGEINT, ',' ORDER BY word) AS dropped FROM wo GROUP BY doc_id)
+SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(bm.dropped), '') AS dropped
+FROM marked m LEFT JOIN bm ON bm.doc_id = m.doc_id GROUP BY m.doc_id
 """
