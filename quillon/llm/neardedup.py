@@ -8,7 +8,8 @@ drawing stops as soon as every slot is taken. Equal sets collapse to one represe
 an aggregate. Signatures of representatives are banded; the documents of a bucket are
 compared with its centres only, in rounds: first one centre, then ever more, and only
 where a bucket still spans several components, until every pair that shares a bucket is
-either compared on its full sets or joined already. Links feed connected components.
+either compared on its full sets or joined already. No pair is compared twice, and none whose sizes alone
+rule a link out. New links join components of the round before, so the graph shrinks as it goes.
 
 32 bands of 6 rows miss a pair of similarity 0.8 with a chance of 6 in 100,000, and of
 0.9 with 1 in 10^10.
@@ -105,6 +106,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return y.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, component) after links (a, b) of ids; only components that are linked anew are gone through."""
+    name = lambda c: comp.select(F.col("id").alias(f"{c}_id"), F.col("component").alias(f"{c}_component"))
+    between = links.join(name("a"), F.col("a") == F.col("a_id")).join(name("b"), F.col("b") == F.col("b_id")).where("a_component <> b_component")
+    found = components(between.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    moved = found.select(F.col("id").alias("m_id"), F.col("component").alias("m_component"))
+    return cut(comp.join(moved, F.col("component") == F.col("m_id"), "left").select("id", F.coalesce("m_component", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; see _grouped."""
     return _grouped(docs, percent).drop("th")
@@ -120,15 +130,15 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     base = docs.select("doc_id", "text")
     signed = cut(base.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sign, "doc_id bigint, th bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"))
     # one representative of each set; equal sets are the same bands, so any() of them will do
-    reps = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1 and low < high").select("key", "low")
-    members = cut(rows.join(shared.select("key"), "key"))
+    reps = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size"), F.first("bands").alias("bands"))
+    rows = reps.select("rep", "size", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
+    members = cut(rows.join(shared, "key"))
     ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = cut(base.join(small_enough(ids), "doc_id").mapInArrow(_sets, "id bigint, s array<bigint>"))
-    links, comp, turn = None, ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), 0
+    comp, done, turn = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), None, 0
     while True:
-        placed = members.join(comp, members["rep"] == comp["id"]).select("key", "rep", "component")
+        placed = members.join(comp, members["rep"] == comp["id"]).select("key", "rep", "size", "component")
         span = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         left = cut(placed.join(span, "key"))
         if left.isEmpty():
@@ -136,18 +146,19 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         # Centres: the smallest member of each of 1, 4, 16 ... parts of a bucket.
         parts = 4 ** max(0, turn - 1)
         part = F.pmod(F.xxhash64("rep"), F.lit(parts))
-        centres = left.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "component")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.component").alias("ca"))
-        pairs = left.join(centres, "key").where("a <> rep and ca <> component").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        centres = left.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "component", "size")).alias("c"))
+        centres = centres.select("key", F.col("c.rep").alias("a"), F.col("c.component").alias("ca"), F.col("c.size").alias("sa"))
+        pairs = left.join(centres, "key").where("a <> rep and ca <> component").where(100 * F.least("sa", "size") >= percent * F.greatest("sa", "size"))
+        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
         if turn == 0:
             # one centre for each member joins most of them; the pairs left out are looked at again
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
             pairs = pairs.distinct()
-            members = cut(left.select("key", "rep").join(centres.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"))
-        new = cut(_verify(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        comp = cut(ids.join(found, ids["doc_id"] == found["id"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")))
+            members = cut(left.select("key", "rep", "size").join(centres.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"))
+        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        comp = _joined(comp, _verify(pairs, sets, percent))
         turn += 1
     whole = reps.select("h1", "h2", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     # the component's name must be its smallest doc_id, and a representative is the smallest of its set
