@@ -67,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffixdedup.ORACLE,
         "op2_line_dedup": linededup.ORACLE,
         "op3_near_dedup": neardedup.ORACLE,
         "op7_embedding_dedup": vectordedup.ORACLE,

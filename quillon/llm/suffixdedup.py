@@ -11,7 +11,7 @@ do the first copies' bytes have to be looked at.
 
 Those bytes are fetched and, per range of anchors, sorted as suffixes in two stages: only suffixes
 smaller than their successors are sorted directly, the others follow by one scan over the buckets
-of first bytes. Neighbours whose common prefix reaches the length are equal strings; all but the
+of first bytes. Common prefixes of neighbours follow; where they reach the length, strings are equal, and all but the
 first in (doc_id, start) are removed. An anchor of very many different blocks (a short notice in many
 texts) would make one large range: its strings are compared one by one by 128-bit hash instead, spread over the cluster.
 """
@@ -98,17 +98,25 @@ def two_stage(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(out) if out else np.zeros(0, np.int64)), word
 
 
+def common_prefixes(sa: np.ndarray, word: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """For each place but the first: how many bytes it and the one before share, up to depth."""
+    p, q = sa[:-1], sa[1:]
+    out = np.zeros(len(p), np.int64)
+    on = np.arange(len(p))
+    for s in range(0, depth, 8):
+        x = word[p[on] + s] ^ word[q[on] + s]
+        # equal bytes before the first one that differs
+        same = np.full(len(on), 8, np.int64)
+        for k in range(7, -1, -1):
+            same[(x >> U(56 - 8 * k)) != 0] = k
+        out[on] += same
+        on = on[same == 8]
+    return np.minimum(out, depth)
+
+
 def equal_neighbours(sa: np.ndarray, word: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each place but the first: do it and the one before share their first length bytes?"""
-    p, q = sa[:-1], sa[1:]
-    same = np.ones(len(p), bool)
-    for s in range(0, length - 7, 8):
-        same[same] = word[p[same] + s] == word[q[same] + s]
-    if length % 8:
-        shift = U(64 - 8 * (length % 8))
-        s = length - length % 8
-        same[same] = (word[p[same] + s] >> shift) == (word[q[same] + s] >> shift)
-    return same
+    return common_prefixes(sa, word, length) >= length
 
 
 def _prefix(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +211,12 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
         d = ids[d]
         order, new = _first((a, b, d, s))
         bucket = (a >> U(64 - bits)).astype(np.int64)
+        # what is removed here meets nothing any more: it passes through a range of its own, wherever that is
+        aside = -1 - int(B.mix(ids[:1].astype(np.uint64))[0] >> U(40)) if len(ids) else -1
         out: dict[str, list] = {"bucket": [], "n": [], "own": [], "blob": []}
         for own, rows in ((False, order[new]), (True, order[~new])):
-            # by document, for small differences; the removed ones only pass through
-            for k, x in _by(bucket[rows], rows):
+            # by document, for small differences
+            for k, x in _by(np.full(len(rows), aside) if own else bucket[rows], rows):
                 x = x[np.lexsort((s[x], d[x]))]
                 zero = np.zeros(len(x), U)
                 out["bucket"].append(k)
@@ -382,3 +392,19 @@ def digest(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _cover(docs, length, many).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(1, greatest(len(h) // 2 - 98, 1))) AS i FROM d)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM f WHERE r > 1),
+n AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+x AS (SELECT doc_id, k, min(i) AS a, max(i) + 99 AS b FROM n GROUP BY doc_id, k),
+p AS (SELECT x.doc_id, x.k, x.a, x.b, substr(h, 2 * coalesce(lag(x.b) OVER (PARTITION BY x.doc_id ORDER BY x.k), 0) + 1,
+    2 * (x.a - 1 - coalesce(lag(x.b) OVER (PARTITION BY x.doc_id ORDER BY x.k), 0))) AS piece FROM x JOIN d ON d.doc_id = x.doc_id),
+r AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY k) AS head, max(b) AS last FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
