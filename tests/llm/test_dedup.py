@@ -17,6 +17,8 @@ def test_two_stage_sort_is_a_suffix_array():
             assert sorted(sa.tolist()) == list(range(n))
             got = [bytes(t)[i : i + 100] for i in sa]
             assert got == sorted(got)
+            shared = suffixdedup.common_prefixes(sa, word, 100)
+            assert shared.tolist() == [next((i for i in range(100) if s[a + i] != s[b + i]), 100) for a, b in zip(sa[:-1], sa[1:], strict=True)]
             same = suffixdedup.equal_neighbours(sa, word, 100)
             assert same.tolist() == [s[a : a + 100] == s[b : b + 100] for a, b in zip(sa[:-1], sa[1:], strict=True)]
 
@@ -74,6 +76,22 @@ def test_line_dedup_over_words_of_a_bitmap(spark):
         assert r.kept_sha256 == brute.sha("\n".join(want[r.doc_id][1]))
 
 
+def test_line_dedup_counts_doc_ids_and_splits_hot_keys(spark, monkeypatch):
+    """Keys of a few documents and of most, decided in both ways; a doc_id with two rows is one document."""
+    line = [f"line number {i} is long enough" for i in range(8)]
+    texts = [(1, line[0]), (1, line[0]), (2, line[0]), (3, "\n".join(line[1:]) + "\n" + line[1].upper())]
+    texts += [(10 + i, "\n".join([*line[1 : 2 + i % 7], line[1], "own line of document %d here" % i])) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    got = {}
+    for hot in (1000, 2, 1):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        got[hot] = rows(linededup.digest(df))
+    assert got[1000] == got[2] == got[1] and all(r[2] == 0 for r in got[2] if r[0] < 3)
+    want = brute.lines_kept(texts[3:])
+    assert {r[0]: r[3] for r in got[2] if r[0] > 2} == {d: brute.sha("\n".join(want[i][1])) for i, (d, _) in enumerate(texts[3:])}
+    assert next(r for r in got[2] if r[0] == 3)[4] == "0:" + str(0b11111111)
+
+
 def test_line_dedup_edges(odd, empty):
     assert rows(linededup.digest(empty)) == []
     got = linededup.digest(odd).collect()
@@ -115,6 +133,24 @@ def test_near_duplicates_in_a_chain(spark):
     assert rows(neardedup.near_duplicates(df)) == sorted(brute.near_duplicates(texts), key=str)
 
 
+def test_no_pair_is_compared_twice(spark, monkeypatch):
+    """Texts of one template, alike enough to share buckets and too unlike to be linked."""
+    r = np.random.default_rng(7)
+    frame = [f"f{i}" for i in range(80)]
+    texts = [(i, " ".join(w if j % 9 or j == 0 else f"x{r.integers(1 << 30)}" for j, w in enumerate(frame))) for i in range(60)]
+    compared = []
+    verify = neardedup._verify
+
+    def counted(pairs, *how):
+        compared.extend((x.a, x.b) for x in pairs.collect())
+        return verify(pairs, *how)
+
+    monkeypatch.setattr(neardedup, "_verify", counted)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert rows(neardedup.near_duplicates(df)) == sorted(brute.near_duplicates(texts), key=str)
+    assert compared and len(compared) == len(set(compared)) <= 60 * 59 // 2
+
+
 def test_near_duplicates_edges(odd, empty):
     assert rows(neardedup.near_duplicates(empty)) == []
     got = rows(neardedup.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")

@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 from brute import rows
+from pyspark.sql import functions as F
 
 from quillon.llm import bytesops, decontamination, licenses, mixing, quality, secrets, toxicity
 
@@ -92,9 +93,41 @@ def test_battery_statistics(spark):
     assert abs(r.z_serial - (m[1:] * m[:-1]).sum() / (m * m).sum() * np.sqrt(32)) < 1e-9
 
 
+def test_secrets_of_long_texts(spark):
+    """Far more matches than are walked at once, among them none, and positions in code points; time grows with the text."""
+    r = random.Random(4)
+    part = lambda: r.choice(["é😀 ", "word ", "0123456789abcdef0 ", "AKIAABCDEFGHIJKLMN ", "token=abcdefghijkl0 ", "secret: short ", "%016x " % r.getrandbits(64)])
+    texts = [(i, "".join(part() for _ in range(n))) for i, n in enumerate((0, 1, 255, 256, 257, 700, 3000))]
+    texts.append((99, "%08x%08x " * 20000 % tuple(r.getrandbits(32) for _ in range(40000))))
+    got = {x.doc_id: x for x in secrets.digest(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for d, t in texts:
+        assert got[d].base_sha256 == brute.sha(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in brute.base_secrets(t)))
+
+
+def test_discoveries_are_those_of_benjamini_and_hochberg(spark):
+    r = np.random.default_rng(3)
+    for share in (0.0, 0.1, 0.9):
+        chance = np.where(r.random(400) < share, 10.0 ** -r.uniform(2, 14, 400), r.random(400))
+        ok = r.random(400) < 0.8
+        df = spark.createDataFrame([(i, float(c), bool(o)) for i, (c, o) in enumerate(zip(chance, ok, strict=True))], "i int, chance double, random boolean")
+        # as coarse as the grid: chances count as the next higher 1/40 of a decade
+        p = [10 ** (-math.floor(-math.log10(max(c, 1e-12)) * secrets.GRID) / secrets.GRID) if o else math.inf for c, o in zip(chance, ok, strict=True)]
+        ranked = sorted(p)
+        k = max([i for i in range(1, 401) if ranked[i - 1] <= 0.05 * i / 400 * (1 + 1e-12)], default=0)
+        want = {i for i in range(400) if k and p[i] <= ranked[k - 1]}
+        assert {x.i for x in secrets.discoveries(df).collect()} == want and bool(want) == (share > 0)
+
+
+def test_normal_tails(spark):
+    z = [-8.0, -5.0, -2.0, -0.5, 0.0, 1.0, 4.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", secrets._phi(F.col("z")).alias("p")).collect()
+    assert all(abs(x.p / (math.erfc(-x.z / math.sqrt(2)) / 2) - 1) < 5e-3 for x in got)
+
+
 def test_secrets_edges(odd, empty):
     assert rows(secrets.digest(empty)) == []
-    assert secrets.digest(odd).count() == 8
+    none = brute.sha("")
+    assert rows(secrets.digest(odd)) == sorted([(i, 0, 0, 0, none, "") for i in (None, None, 1, 1, 2, 3, 3, 4)], key=str)
 
 
 def test_automaton_against_all_substrings():
