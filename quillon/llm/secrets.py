@@ -176,12 +176,17 @@ def secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
 
     Null and empty texts have no spans. Repeated rows give repeated results. Other columns are ignored.
     """
-    base = base_spans(docs).select("doc_id", "th", "base")
-    more = random_spans(docs, q).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", F.lit(3).alias("k"))).alias("more"))
+    # positions only, used twice
+    base = cut(base_spans(docs).select("doc_id", "th", "base"))
+    fixed = base.select("doc_id", "th", F.explode("base").alias("x")).select("doc_id", "th", "x.s", "x.e", F.lit(False).alias("new"))
+    found = random_spans(docs, q).distinct().select("doc_id", "th", "s", "e", F.lit(True).alias("new"))
+    # a span lies inside another if one that starts no later ends no earlier
+    before = W.partitionBy("doc_id", "th").orderBy("s").rangeBetween(W.unboundedPreceding, 0)
+    beyond = fixed.unionByName(found).withColumn("far", F.max(F.when(~F.col("new"), F.col("e"))).over(before)).where("new and coalesce(far, 0) < e")
+    more = beyond.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", F.lit(3).alias("k"))).alias("more"))
     more = more.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "more")
     j = base.join(more, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("th") == F.col("q_th")), "left")
-    new = F.expr("filter(more, m -> not exists(base, b -> b.s <= m.s and m.e <= b.e))")
-    both = F.concat("base", F.coalesce(new, F.array().cast("array<struct<s:int,e:int,k:int>>")))
+    both = F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,e:int,k:int>>")))
     return j.select("doc_id", "base", _ordered(both).alias("spans"))
 
 
