@@ -35,7 +35,6 @@ ODD = ("Аномалии форматирования (", "), характерн
 
 _NUMBER = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
 _ENDLESS = r"(?i)^\s*([+-]?)(inf|infinity)\s*$"
-_NAN = r"(?i)^\s*[+-]?nan\s*$"
 
 
 def to_number(p: Column) -> Column:
