@@ -7,7 +7,8 @@ among the released blocks keeps every source less than one block away from its w
 after each slot. Weights are ratios of whole numbers, and all comparisons are made in
 whole numbers. As many slots are laid out as it takes to place every block, or one
 period of the weights where that is shorter: a single SQL expression lays out one cycle
-after the other and carries the blocks placed so far from each to the next.
+after the other and carries the blocks placed so far from each to the next. That is the work of one task,
+so blocks grow with the table beyond BLOCKS of them: the layout has a bounded size, and the deviation stays less than a block.
 
 Ranks are taken without sorting a source in one task: documents are counted by source and
 range of the order's hash, running totals over those counts give each range its offset,
@@ -26,6 +27,8 @@ from quillon.llm.common import cut, small_enough
 
 #: Documents that share a hash range, about.
 RANGE_ROWS = 4096
+#: Documents of a block at least, and blocks of all sources at most, about.
+BLOCK, BLOCKS = 8, 100_000
 
 
 #: Products of slots and weights stay below this, hence within a bigint.
@@ -69,10 +72,11 @@ def plan(sources: DataFrame, cycle: int = 1000) -> DataFrame:
     return own.withColumn("q", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle: int = 1000, power: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | None = None, block: int | None = None, cycle: int = 1000, power: float = 0.5) -> DataFrame:
     """doc_id, source, rank, block, release, deadline, slot, place: the reading order is (slot, place).
 
-    targets: (source, target); by default the size of a source to the given power. A null source is a source
+    targets: (source, target); by default the size of a source to the given power. block: documents of a block, by default
+    BLOCK, or more where that makes more than BLOCKS blocks. A null source is a source
     of its own. Sources without a positive target, and repeated targets, get no slot: their rows stay, with null
     slots. All rows stay; when a source runs out, its later slots are empty. Ties of doc_id rank side by side.
     """
@@ -80,6 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = 8, cycle
     rows = rows.withColumn("h", F.coalesce("h", F.lit("")))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     total = docs.count()
+    block = block or max(BLOCK, -(-total // BLOCKS))
     digits = max(0, math.ceil(math.log(max(1, total / RANGE_ROWS), 16)))
     rows = rows.withColumn("range", F.substring("h", 1, digits))
     offsets = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.sum("m").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
