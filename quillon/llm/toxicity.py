@@ -7,8 +7,7 @@ non-toxic text turn a segment's score and the document's length into an expected
 segments by chance; segments rarer than a bound are reported, and the best one's significance,
 calibrated on the training rows, is the document's score.
 
-Words, and word beginnings of a few lengths, are first counted in a table of fixed size by hash; only the
-words of its significant buckets are then counted one by one.
+Words, and word beginnings of a few lengths, are all counted, by hash: every task sums its own documents' first.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ from pyspark.sql import functions as F
 from quillon.llm import bytesops as B
 from quillon.llm.common import cut
 
-BUCKETS = 1 << 20
 #: At most so many labelled rows, about, are fitted on, chosen by a hash of doc_id.
 MAX_ROWS = 60_000
-SHARDS = 64
+#: Word counts that a task sums before it sends them.
+HELD = 1 << 21
 #: Bytes of a word's beginning that count as words of their own.
 STEMS = (5, 6, 7)
 #: Weight of the Dirichlet prior, as a share of all counts.
@@ -60,26 +59,29 @@ def _by_document(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold a word, by bucket and label, as one array a shard: each document counts a word once."""
-    total = np.zeros((2, BUCKETS), np.int32)
+    """Documents that hold a word, by label: each document counts a word once."""
+
+    def out(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        h, k, y = [], [], []
+        for label in (0, 1):
+            word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found[label]]), return_counts=True)
+            h.append(word.view(np.int64))
+            k.append(n)
+            y.append(np.full(len(n), label))
+        h, k, y = (np.concatenate(x) for x in (h, k, y))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(k * y), pa.array(k * (1 - y))], names=["word", "y1", "y0"])
+
+    found: list[list[np.ndarray]] = [[], []]
+    size = 0
     for batch in batches:
         for label, h in _by_document(batch):
-            np.add.at(total[label], (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-    parts = total.reshape(2, SHARDS, -1)
-    for s in range(SHARDS):
-        if parts[:, s].any():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([parts[:, s].tobytes()], pa.binary())], names=["shard", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(b.as_buffer(), np.int32).reshape(2, -1)
-            total[s] = total[s] + x if s in total else x.astype(np.int64)
-    for s, x in total.items():
-        k = np.flatnonzero(x.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(k + s * (BUCKETS // SHARDS), pa.int64()), pa.array(x[1, k]), pa.array(x[0, k])], names=["word", "y1", "y0"])
+            found[label].append(h)
+            size += len(h)
+            if size > HELD:
+                yield out(found)
+                found, size = [[], []], 0
+    if size:
+        yield out(found)
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -180,6 +182,26 @@ def _odds(counts: DataFrame, t1: float, t0: float, least: float) -> DataFrame:
     return odds.where(F.abs(F.col("delta") / F.sqrt(1 / F.col("a1") + 1 / F.col("a0"))) >= least).select("word", "y0", "delta")
 
 
+def _k(clean: DataFrame, model: Model) -> float:
+    """K of the best segments of clean text, by maximum likelihood given lambda: texts with a segment of score s have density K n lambda exp(-lambda s - K n exp(-lambda s)), those without chance exp(-K n)."""
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, weight = 0, 0.0
+        for batch in batches:
+            for _, _, words, counts in _groups(batch.column(0)):
+                x, at = shared.value.of(words), np.concatenate([[0], np.cumsum(counts)])
+                for d, n in enumerate(counts):
+                    s = best(x[at[d] : at[d + 1]])
+                    some += s > 0
+                    weight += n * math.exp(-shared.value.lam * s)
+        yield pa.RecordBatch.from_arrays([pa.array([some], pa.int64()), pa.array([weight])], names=["some", "weight"])
+
+    r = clean.select("text").mapInArrow(run, "some bigint, weight double").agg(F.sum("some").alias("some"), F.sum("weight").alias("weight")).first()
+    shared.unpersist()
+    return max(float(r["some"] or 0), 0.5) / max(float(r["weight"] or 0), 1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most about max_rows labelled rows outside the held-out fifth; text and label are all it sees.
 
@@ -191,37 +213,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    shards = train.mapInArrow(_count, "shard int, counts binary").repartition(F.col("shard"))
-    counts = cut(shards.mapInArrow(_add, "word bigint, y1 bigint, y0 bigint"))
+    words = cut(train.mapInArrow(_count, "word bigint, y1 bigint, y0 bigint").groupBy("word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model(np.zeros(0), np.zeros(0, np.uint64), 1.0, 0.1, 1e-3, 30.0 if n1 else -30.0)
-    t = counts.agg(F.sum("y1").alias("t1"), F.sum("y0").alias("t0")).first()
+    t = words.agg(F.sum("y1").alias("t1"), F.sum("y0").alias("t0")).first()
     t1, t0 = float(t["t1"] or 0), float(t["t0"] or 0)
-    significant = _odds(counts, t1, t0, SIGNIFICANT / 2).select("word").toPandas()["word"].to_numpy(np.int64)  # at most BUCKETS rows
-    chosen = np.zeros(BUCKETS, bool)
-    chosen[significant] = True
-    mask = docs.sparkSession.sparkContext.broadcast(np.packbits(chosen))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(mask.value).astype(bool)
-        for batch in batches:
-            found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
-            for label, h in _by_document(batch):
-                found[label].append(h[wanted[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]])
-            for label in (0, 1):
-                h, k = np.unique(np.concatenate(found[label]), return_counts=True)
-                zero = np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k if label else zero), pa.array(zero if label else k)], names=["word", "y1", "y0"])
-
-    words = train.mapInArrow(exact, "word bigint, y1 bigint, y0 bigint").groupBy("word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    # significant words of a bounded sample
     m = _odds(words.where(F.col("y1") + F.col("y0") >= 5), t1, t0, SIGNIFICANT).toPandas()
     m = m.assign(word=m["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
     scores, buckets = m["delta"].to_numpy(float), m["word"].to_numpy(np.uint64)
     p = (m["y0"].to_numpy(float) + 0.1) / max(t0, 1.0)
     lam = _lambda(np.append(scores, -COST), np.append(p, max(0.0, 1 - p.sum())))
-    model = Model(scores, buckets, lam, float(max(p[scores > 0].sum(), 1e-6)))
+    model = Model(scores, buckets, lam)
+    model.k = _k(train.where("toxic = 0"), model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["toxic", "bin", "n"])
 
     h = train.mapInArrow(bins, "toxic int, bin int, n bigint").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toPandas()
+    shared.unpersist()
     model.a, model.b = _logistic(h["bin"].to_numpy(float) / 10, h["toxic"].to_numpy(float), h["n"].to_numpy(float))
     return model
 

@@ -1,9 +1,11 @@
 import math
+import os
 import random
 from collections import Counter
 
 import brute
 import numpy as np
+import pytest
 from brute import rows
 from pyspark.sql import functions as F
 
@@ -277,6 +279,69 @@ def test_segments_are_maximal():
             assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_segments_against_repeated_search():
+    """Without ties, the maximal segments are the best one, and those of what lies before and after it."""
+    r = np.random.default_rng(10)
+
+    def best_first(x, lo, hi):
+        c = [(x[i:j].sum(), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not c or max(c)[0] <= 0:
+            return []
+        v, i, j = max(c)
+        return [*best_first(x, lo, i), (i, j, v), *best_first(x, j, hi)]
+
+    for n in (1, 2, 8, 25):
+        for _ in range(40):
+            x = r.normal(-0.2, 1, n)
+            got, want = toxicity.segments(x), best_first(x, 0, n)
+            assert [g[:2] for g in got] == [w[:2] for w in want]
+            assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want, strict=True))
+
+
+def test_toxicity_model_against_plain_counts(spark):
+    import zlib
+
+    r = np.random.default_rng(2)
+    common = [f"word{i}" for i in range(30)] + ["a", "bé", "longerword"]
+    texts = {i: " ".join([*r.choice(common, 25), *(r.choice(["nasty", "nastiest", "awful"], 3) if i % 5 == 0 else [])]) for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in texts], "doc_id bigint, toxic int")
+    m = toxicity.fit(docs, labels)
+    train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5}
+
+    def keys(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        start = lambda k: int(bytesops.hashes(b, np.zeros(1, np.int64), np.array([min(k, len(b))]))[0])
+        return [start(len(b)), *(start(k) ^ k for k in toxicity.STEMS)]
+
+    y = [Counter(), Counter()]
+    for i, t in train.items():
+        y[i % 5 == 0].update(set().union(*(keys(w) for w in brute.words(t))))
+    t0, t1 = (sum(c.values()) for c in y)
+    want = {}
+    for k in set(y[0]) | set(y[1]):
+        n = y[0][k] + y[1][k]
+        a1, a0, total = y[1][k] + toxicity.PRIOR * n, y[0][k] + toxicity.PRIOR * n, toxicity.PRIOR * (t1 + t0)
+        d = math.log(a1 / (t1 + total - a1)) - math.log(a0 / (t0 + total - a0))
+        if n >= 5 and abs(d) / math.sqrt(1 / a1 + 1 / a0) >= toxicity.SIGNIFICANT:
+            want[k] = d
+    got = dict(zip(m.buckets.tolist(), m.scores.tolist(), strict=True))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 3
+    # K: clean texts with a segment, over what chance weighs them with
+    x = {i: m.of(np.array([keys(w) for w in brute.words(t)], np.uint64)) for i, t in train.items() if i % 5}
+    s = {i: toxicity.best(v) for i, v in x.items()}
+    assert abs(m.k - max(0.5, sum(v > 0 for v in s.values())) / sum(len(x[i]) * math.exp(-m.lam * s[i]) for i in s)) < 1e-9
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the public tables aren't here")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    x = toxicity.digest(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert len(x) > 50 and sum(r.predicted == r.toxic for r in x) >= 0.93 * len(x)
+
+
 def test_toxicity_learns_and_ignores_the_rest(spark):
     r = np.random.default_rng(1)
     words = ["alpha", "beta", "gamma", "delta", "epsilon"]
