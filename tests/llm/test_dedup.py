@@ -163,9 +163,11 @@ def test_near_duplicates_edges(odd, empty):
 def test_components(spark):
     r = np.random.default_rng(0)
     links = [tuple(map(int, x)) for x in r.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = brute.components(1100, links)
-    assert got == {i: want[i] for e in links if e[0] != e[1] for i in e}
+    for few in (0, components.FEW):
+        got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a bigint, b bigint"), few).collect()}
+        assert got == {i: want[i] for e in links if e[0] != e[1] for i in e}
+    assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a bigint, b bigint")).count() == 0
 
 
 def test_vectors(spark):
