@@ -3,11 +3,11 @@
 Text is read as words and runs of marks. The WORDS most frequent of them in the trusted text are known one by one, all
 others by their kind and length; a word that repeats the one before it is read as the number of times it has done so,
 since running repetition is what distinguishes filler. The model is of order 3. Its counts grow with the
-text and never meet in one place: every task sums its own trigrams and sends them, packed, to the shard of their middle word, or,
-for the HOT most frequent words, of their first two. A shard thus has all that a trigram's probability asks for:
+text and never meet in one place: every task sums its own trigrams and sends them, packed, to the shard of their middle word; if that is one of
+the HOT most frequent words, of their first two; and if both of these are, of all three. A shard thus has all that a trigram's probability asks for:
 the counts of the trigram and of its context, and the numbers of contexts that its last two words
-follow (of hot words, these are summed apart: HOT x WORDS numbers at most). The driver gets counts of counts, and
-one number a known word.
+follow. Of hot words these are summed apart, for all shards: HOT x WORDS numbers at most, and a few for each of HOT x HOT contexts. Beside them, the driver
+gets counts of counts, and one number a known word.
 
 Documents are scored by a join of the same shards: every task sends the distinct trigrams of its documents to the
 shards, which return sums by document. The documents' perplexities are held against quantiles over held-out trusted
@@ -35,7 +35,7 @@ KINDS, RUNS, START = WORDS, WORDS + 32, WORDS + 63
 ALL, BITS = WORDS + 64, 14
 LOW, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Trusted text that a shard stands for, and the tokens of the documents that a task sends at once, about.
-SHARD_BYTES, TOKENS = 32 << 20, 1 << 21
+SHARD_BYTES, TOKENS = 16 << 20, 1 << 20
 HELD_OUT = 5
 
 _MARK = ~B.ALNUM
@@ -92,13 +92,24 @@ class Vocabulary:
         return code, n
 
 
+def _hot_row(word: np.ndarray) -> np.ndarray:
+    """Row of a hot word, or of a number that is no word's, in the tables of hot words; -1 for others."""
+    return np.where(word < HOT, word, np.where(word >= WORDS, word - WORDS + HOT, -1))
+
+
 def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
     middle = (code >> BITS) & LOW
-    spread = (middle < HOT) | (middle >= WORDS)
-    key = np.where(spread, (code >> BITS) + (1 << 2 * BITS), middle)
+    hot, both = _hot_row(middle) >= 0, _hot_contexts(code) >= 0
+    key = np.where(both, code, np.where(hot, (code >> BITS) + (1 << 3 * BITS), middle + (1 << 4 * BITS)))
     return (B.mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
+def _hot_contexts(code: np.ndarray) -> np.ndarray:
+    """Number of a context of two hot words; -1 for others."""
+    u, v = _hot_row(code >> 2 * BITS), _hot_row((code >> BITS) & LOW)
+    return np.where((u >= 0) & (v >= 0), u * (HOT + 64) + v, -1)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers as bytes: the first is sorted and becomes differences; like bytes of all numbers stand together."""
     out = [np.array([len(columns)] + [len(c) for c in columns], np.int64).tobytes()]
@@ -150,8 +161,10 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 ROW = "to bigint, kind int, key bigint, n bigint, blob binary"
 TRIGRAMS, NUMBERS, ASKED, DOCUMENTS, SUMS = range(5)
 #: Rows of the table of numbers that are summed for the driver: of the hot words' pairs, by last word; of the other pairs, by last word;
-#: and how many counts of 1 to 4 there are in orders 2 and 3. It travels in parts of so many rows.
-OTHERS, COUNTS, HEIGHT, PART = HOT + 64, HOT + 65, HOT + 66, 20
+#: how many counts of 1 to 4 there are in orders 2 and 3; and of each context of two hot words, the total of its counts and how many are 1, 2 and more.
+#: It travels in parts of so many rows.
+OTHERS, COUNTS, CONTEXTS, PART = HOT + 64, HOT + 65, HOT + 66, 20
+HEIGHT = CONTEXTS + -(-4 * (HOT + 64) ** 2 // ALL)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,8 +178,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
     return ((k, g) for k, g in groupby(rows, key=lambda r: r[0]))
 
 
-def _together(df: DataFrame) -> DataFrame:
-    return df.repartition(F.col("to")).sortWithinPartitions("to", "kind")
+def _together(df: DataFrame, shards: int = 0) -> DataFrame:
+    """Rows of one `to` side by side; of shards, each in a task of its own."""
+    return (df.repartitionById(shards, F.col("to").cast("int")) if shards else df.repartition(F.col("to"))).sortWithinPartitions("to", "kind")
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -196,8 +210,9 @@ def _look(keys: np.ndarray, values: np.ndarray, q: np.ndarray, default: float) -
 class Model:
     """What every shard needs beside its own trigrams: discounts, the lowest order, and the second for hot words."""
 
-    def __init__(self, two: list[float], three: list[float], last: np.ndarray, hot: np.ndarray):
-        """two, three: how many counts of 1 to 4 there are in these orders; last: by word, how many words it follows; hot: by hot word and word, how many words stand before both."""
+    def __init__(self, two: list[float], three: list[float], last: np.ndarray, hot: np.ndarray, contexts: np.ndarray):
+        """two, three: how many counts of 1 to 4 there are in these orders; last: by word, how many words it follows; hot: by hot word and word, how many words
+        stand before both; contexts: by context of hot words, the total of its counts, and how many are 1, 2 and more."""
         self.d2, self.d3 = discounts(two), discounts(three)
         d1 = discounts([float((last == k).sum()) for k in (1, 2, 3, 4)])
         off = d1[np.minimum(last, 3)]
@@ -207,11 +222,8 @@ class Model:
         sums = hot.sum(axis=1)
         self.hot_total = np.maximum(sums, 1).astype(float)
         self.hot_left = np.where(sums > 0, self.d2[np.minimum(hot, 3)].sum(axis=1) / self.hot_total, 1.0)
-
-
-def _hot_row(word: np.ndarray) -> np.ndarray:
-    """Row of a hot word, or of a number that is no word's, in the table of hot words; -1 for others."""
-    return np.where(word < HOT, word, np.where(word >= WORDS, word - WORDS + HOT, -1))
+        self.both_total = np.maximum(contexts[:, 0], 1).astype(float)
+        self.both_left = np.where(contexts[:, 0] > 0, contexts[:, 1:] @ self.d3[1:] / self.both_total, 1.0)
 
 
 class Shard:
@@ -222,7 +234,9 @@ class Shard:
         z = np.zeros(0)
         self.context = self.total = self.left = self.pair = self.pair_p = self.word = self.word_left = z
         if len(code):
-            self.context, _, self.total, self.left = _context(code >> BITS, count, model.d3)
+            alone = _hot_contexts(code) < 0
+            if alone.any():
+                self.context, _, self.total, self.left = _context(code[alone] >> BITS, count[alone], model.d3)
             pair, before = _grouped(code & PAIR, np.ones(len(code), np.int64))
             own = _hot_row(pair >> BITS) < 0
             pair, before = pair[own], before[own]
@@ -238,8 +252,11 @@ class Shard:
         c, r = m.hot[row[h], last[h]], row[h]
         p2[h] = (c - m.d2[np.minimum(c, 3)]) / m.hot_total[r] + m.hot_left[r] * m.p1[last[h]]
         c = _look(self.code, self.count, code, 0).astype(np.int64)
-        total = _look(self.context, self.total, code >> BITS, 1.0)
-        return -np.log((c - m.d3[np.minimum(c, 3)]) / total + _look(self.context, self.left, code >> BITS, 1.0) * p2)
+        total, left = _look(self.context, self.total, code >> BITS, 1.0), _look(self.context, self.left, code >> BITS, 1.0)
+        both = _hot_contexts(code)
+        h = np.flatnonzero(both >= 0)
+        total[h], left[h] = m.both_total[both[h]], m.both_left[both[h]]
+        return -np.log((c - m.d3[np.minimum(c, 3)]) / total + left * p2)
 
 
 def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +325,13 @@ def count(text: DataFrame, vocab, shards: int) -> DataFrame:
             own = row < 0
             cell = np.concatenate([np.where(own, OTHERS, row) * ALL + (pair & LOW), COUNTS * ALL + np.arange(8)])
             sums = np.concatenate([np.where(own, 1, before), [(before[own] == k).sum() for k in (1, 2, 3, 4)], [(n == k).sum() for k in (1, 2, 3, 4)]])
-            cell, sums = _grouped(cell, sums)
+            context = _hot_contexts(code)
+            on = np.flatnonzero(context >= 0)
+            cell = np.concatenate([cell, CONTEXTS * ALL + 4 * context[on], CONTEXTS * ALL + 4 * context[on] + np.minimum(n[on], 3)])
+            cell, sums = _grouped(cell, np.concatenate([sums, n[on], np.ones(len(on), np.int64)]))
             yield _rows([(k, NUMBERS, 0, len(x), pack(cell[x], sums[x])) for k, x in _by(cell // (PART * ALL))])
 
-    return _together(text.mapInArrow(local, ROW)).mapInArrow(merged, ROW)
+    return _together(text.mapInArrow(local, ROW), shards).mapInArrow(merged, ROW)
 
 
 def fit(trigrams: DataFrame) -> Model:
@@ -333,7 +353,8 @@ def fit(trigrams: DataFrame) -> Model:
     table = table.reshape(HEIGHT, ALL)
     hot = table[:OTHERS]
     two = [float(table[COUNTS, k] + (hot == k + 1).sum()) for k in range(4)]
-    return Model(two, table[COUNTS, 4:8].astype(float).tolist(), table[OTHERS] + (hot > 0).sum(axis=0), hot)
+    contexts = table[CONTEXTS:].reshape(-1)[: 4 * (HOT + 64) ** 2].reshape(-1, 4)
+    return Model(two, table[COUNTS, 4:8].astype(float).tolist(), table[OTHERS] + (hot > 0).sum(axis=0), hot, contexts)
 
 
 def score(docs: DataFrame, trigrams: DataFrame, vocab, model, shards: int) -> DataFrame:
@@ -411,7 +432,7 @@ def score(docs: DataFrame, trigrams: DataFrame, vocab, model, shards: int) -> Da
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(nll, pa.float64(), mask=n == 0)], names=["doc_id", "lang", "th", "n_tokens", "nll"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th"), "text").mapInArrow(ask, ROW)
-    met = _together(trigrams.where(F.col("kind") == TRIGRAMS).unionByName(asked)).mapInArrow(answer, ROW)
+    met = _together(trigrams.where(F.col("kind") == TRIGRAMS).unionByName(asked), shards).mapInArrow(answer, ROW)
     return _together(met).mapInArrow(total, "doc_id bigint, lang string, th bigint, n_tokens bigint, nll double")
 
 
