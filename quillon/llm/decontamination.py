@@ -2,8 +2,8 @@
 
 A benchmark item is cut into windows of consecutive words. The corpus is indexed word by
 word: a first pass counts how often each benchmark word occurs, and each window then asks
-for its rarest words only. Their postings (word, document, position) are stored in the
-shared folder, every list is shifted by the word's offset in the window, and the shifted
+for its rarest words only. Their postings (word, document, position) are partitioned by
+document, every list is shifted by the word's offset in the window, and the shifted
 lists are intersected by window, document and start. For loose matches the unshifted
 lists are intersected by window, document and overlapping stretches of it. What is left
 is confirmed word by word on the documents in question, which then report their covered words; no other
@@ -32,7 +32,9 @@ def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """th, doc_id, pos, term: the corpus word by word."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    # the hash first: beside the words, it would be taken of the whole text for each of them
+    cut_up = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
+    return cut_up.select("doc_id", "th", F.posexplode("ws").alias("pos", "term"))
 
 
 def rarest(docs: DataFrame, wins: DataFrame, lists: int = 2) -> DataFrame:
@@ -52,7 +54,8 @@ def _index(docs: DataFrame, benchmark: DataFrame, size: int, lists: int = 2) ->
     wins = cut(windows(benchmark, size).select("item_id", "win", "terms", F.xxhash64("terms").alias("wid")))
     anchors = cut(rarest(docs, wins.select("wid", "terms").distinct(), lists))
     postings = tokens(docs).join(small_enough(anchors.select("term").distinct()), "term")
-    return wins, anchors, cut(postings.select("term", "doc_id", "th", "pos"))
+    # by document: what follows intersects lists within documents, without another shuffle, and reads this one's files twice
+    return wins, anchors, postings.select("term", "doc_id", "th", "pos").repartition("doc_id", "th")
 
 
 def _exact(wins: DataFrame, anchors: DataFrame, postings: DataFrame) -> DataFrame:
@@ -78,9 +81,9 @@ def _near(wins: DataFrame, anchors: DataFrame, postings: DataFrame, slop: int) -
     return met.join(small_enough(wins), "wid").select("doc_id", "th", "item_id", "win", (F.col("bin") * F.col("span")).cast("int").alias("start"), "terms", "span")
 
 
-#: Starts of the stretches of c.span words, from c.start on, that hold all words of the candidate c.
-_NEAR_STARTS = """if(size(array_except(c.terms, slice(q_words, c.start + 1, 2 * c.span))) > 0, array(),
-    filter(sequence(c.start, c.start + c.span - 1), p -> size(array_except(c.terms, slice(q_words, p + 1, c.span))) = 0))"""
+#: Starts of the stretches of c.span words, from c.start on, that hold all words of the candidate c; w: the words of the text.
+_NEAR_STARTS = """if(size(array_except(c.terms, slice(w, c.start + 1, 2 * c.span))) > 0, array(),
+    filter(sequence(c.start, c.start + c.span - 1), p -> size(array_except(c.terms, slice(w, p + 1, c.span))) = 0))"""
 
 
 #: Documents in question whose ids are broadcast, at most; 64 bits each.
@@ -103,9 +106,10 @@ def _confirmed(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | Non
         found = found.unionByName(_near(*index, slop))
     found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "start", "terms", "span")).alias("q_found"))
     there = _texts(docs, cut(found.select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), "q_found")))
-    ok = F.expr("filter(q_found, c -> c.span is null and c.start >= 0 and slice(q_words, c.start + 1, size(c.terms)) = c.terms)").alias("q_ok")
-    near = F.expr(f"filter(q_found, c -> c.span is not null and size({_NEAR_STARTS}) > 0)").alias("q_near")
-    return there.select("q_id", "q_th", ok, *([] if slop is None else [near]))
+    ok = "filter(q_found, c -> c.span is null and c.start >= 0 and slice(w, c.start + 1, size(c.terms)) = c.terms) AS q_ok"
+    near = "" if slop is None else f", filter(q_found, c -> c.span is not null and size({_NEAR_STARTS}) > 0) AS q_near"
+    # an array of one, so that a text is cut into words once, not once for each candidate
+    return there.select("q_id", "q_th", F.expr(f"transform(array(q_words), w -> struct({ok}{near}))[0]").alias("q")).select("q_id", "q_th", "q.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -121,9 +125,10 @@ def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int =
     Repeated words of a window count once. start is the first of each run of such places in a bin of two such lengths.
     Null and empty texts, windows and tables give no rows; repeated rows give theirs once; a null doc_id is an id.
     """
-    found = _near(*_index(docs, benchmark, size), slop).select(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"), F.struct("item_id", "win", "start", "terms", "span").alias("c"))
-    j = _texts(docs, cut(found))
-    return j.select(F.col("q_id").alias("doc_id"), "c.item_id", "c.win", F.expr(f"array_min({_NEAR_STARTS})").alias("start")).where("start is not null").distinct()
+    found = _near(*_index(docs, benchmark, size), slop).groupBy(F.col("doc_id").alias("q_id"), F.col("th").alias("q_th"))
+    j = _texts(docs, cut(found.agg(F.collect_set(F.struct("item_id", "win", "start", "terms", "span")).alias("q_found"))))
+    places = F.expr(f"transform(array(q_words), w -> transform(q_found, c -> struct(c.item_id AS item_id, c.win AS win, array_min({_NEAR_STARTS}) AS start)))[0]")
+    return j.select(F.col("q_id").alias("doc_id"), F.explode(places).alias("p")).select("doc_id", "p.*").where("start is not null").distinct()
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, size: int, slop: int | None = None) -> DataFrame:
