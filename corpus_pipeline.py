@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontamination, linededup, mixing, neardedup, quality
-from quillon.llm.common import stored, table
+from quillon.llm.common import table
+from quillon.sources.shared import fresh, remove, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs)
+            folder = fresh(spark)
+            docs = stored(docs, folder)
+            # all that the stage before left is in this table now
+            if before:
+                remove(spark, before)
+            before = folder
     return docs

@@ -455,7 +455,7 @@ def json_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- recorded answers of a service
 
-_ANSWERS = (
+_SERVED = (
     ("concat('Sure: {\"ai_probability\": ', cast(doc_id % 101 as string), ', \"flags\": [\"A\"], \"summary\": \"s\"} done')", None),
     (None, "'HTTP 503'"),
     (None, "'Ошибка парсинга'"),
@@ -463,11 +463,11 @@ _ANSWERS = (
     (None, "'timed out'"),
     ("concat('{\"ai_probability\": ', cast(doc_id as string))", None),
 )
-_CASE = lambda k: "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {a[k]}" for i, a in enumerate(_ANSWERS) if a[k]) + " END"
+_served = lambda k: "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {a[k]}" for i, a in enumerate(_SERVED) if a[k]) + " END"
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpret(table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(_CASE(0)).alias("reply"), F.expr(_CASE(1)).alias("wrong")))
+    return interpret(table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(_served(0)).alias("reply"), F.expr(_served(1)).alias("wrong")))
 
 
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN (doc_id % 101)::VARCHAR ELSE '0' END AS ai_probability, CASE doc_id % 6 WHEN 0 THEN 'A' ELSE '' END AS flags,

@@ -31,8 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are, as files of one row group do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def v_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("coalesce(text, '')").alias("s")).select("doc_id", F.expr(MAIL).alias("html"))
+    # every block costs some twenty patterns
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr("coalesce(text, '')").alias("s")))
+    return docs.select("doc_id", F.expr(MAIL).alias("html"))
 
 
 def v_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,15 +31,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(spark: SparkSession) -> str:
+    """Name of a folder of one's own in the cluster's shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/quillon-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder in the cluster's shared folder, gone afterwards: what comes of its tables must be cut before."""
-    where = f"{ensure_checkpoint_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    where = fresh(spark)
     try:
         yield where
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, where)
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
