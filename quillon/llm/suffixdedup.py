@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytesops as B
-from quillon.llm.common import stored
+from quillon.llm.common import cut, scratch, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a range of anchors stands for, about.
@@ -36,6 +36,8 @@ RANGE_BYTES = 8 << 20
 #: Different blocks of an anchor beyond which its strings are compared one by one.
 MANY = 2000
 PIECE = 4 << 20
+#: Tasks that the ranges are spread over, at most.
+TASKS = 1 << 15
 #: Texts that drop each other's blocks before anything is sent.
 SLICE = 8 << 20
 U = np.uint64
@@ -104,13 +106,18 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, depth: int = LENGTH) -> np
     out = np.zeros(len(p), np.int64)
     on = np.arange(len(p))
     for s in range(0, depth, 8):
-        x = word[p[on] + s] ^ word[q[on] + s]
+        x = word[p + s] ^ word[q + s]
+        same = x == 0
         # equal bytes before the first one that differs
-        same = np.full(len(on), 8, np.int64)
-        for k in range(7, -1, -1):
-            same[(x >> U(56 - 8 * k)) != 0] = k
-        out[on] += same
-        on = on[same == 8]
+        y = x[~same]
+        n = np.zeros(len(y), np.int64)
+        for k in (32, 16, 8):
+            small = y < U(1 << (64 - k))
+            n[small] += k // 8
+            y[small] <<= U(k)
+        out[on[~same]] = s + n
+        on, p, q = on[same], p[same], q[same]
+    out[on] = depth
     return np.minimum(out, depth)
 
 
@@ -193,13 +200,13 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return [a.view(U), b.view(U), np.cumsum(d.view(np.int64)), s.view(np.int64), c.view(np.int16).astype(np.int64)]
 
 
-def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
-    """doc_id, start, n: runs of strings of that length (by first byte of the first) that start earlier elsewhere, too."""
+def removed_windows(docs: DataFrame, folder: str, length: int = LENGTH, many: int = MANY) -> DataFrame:
+    """doc_id, start, n: runs of strings of that length (by first byte of the first) that start earlier elsewhere, too. folder: where tables that this depends on may lie."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= " + str(length))
     total = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     bits = max(4, math.ceil(math.log2(total / RANGE_BYTES + 1)))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf, offs = B.raw(batch.column(1))
@@ -225,8 +232,11 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
                 out["blob"].append(_pack([zero if own else a[x], zero if own else b[x], d[x], s[x], c[x]]))
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["own"], pa.bool_()), pa.array(out["blob"], pa.binary())], names=["bucket", "n", "own", "blob"])
 
-    sent = texts.mapInArrow(cut, "bucket bigint, n bigint, own boolean, blob binary")
-    meet = sent.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    sent = texts.mapInArrow(split, "bucket bigint, n bigint, own boolean, blob binary")
+    # a range a task, as far as that goes, rather than what hashes of the ranges bring together
+    tasks = min(1 << bits, TASKS)
+    together = lambda df: df.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    meet = together(sent)
 
     def settle(parts: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
         own = [_unpack(b, n) for n, o, b in parts if o]
@@ -259,7 +269,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
         if parts:
             yield from settle(parts)
 
-    settled = stored(meet.mapInArrow(merge, "doc_id bigint, start bigint, n bigint, anchor bigint, hot boolean"))
+    settled = stored(meet.mapInArrow(merge, "doc_id bigint, start bigint, n bigint, anchor bigint, hot boolean"), folder)
     wanted = settled.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("want"))
     fetched = texts.join(wanted.hint("shuffle_hash"), "doc_id")
 
@@ -285,8 +295,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1)), pa.array(np.full(m, ids[k])), pa.array(start[k] + np.arange(m)), pa.nulls(m, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["bucket", "doc_id", "start", "body", "h1", "h2"])
 
     schema = "bucket bigint, doc_id bigint, start bigint, body binary, h1 bigint, h2 bigint"
-    seen = stored(fetched.select("doc_id", "text", "want").mapInArrow(bodies, schema))
-    cold = seen.where("bucket >= 0").select("bucket", "doc_id", "start", "body").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    seen = stored(fetched.select("doc_id", "text", "want").mapInArrow(bodies, schema), folder)
+    cold = seen.where("bucket >= 0").select("bucket", "doc_id", "start", "body")
 
     def sort(ids: list[int], starts: list[int], bodies_: list[bytes]) -> pa.RecordBatch:
         t = np.frombuffer(b"\0".join(bodies_) + b"\0", np.uint8)
@@ -325,7 +335,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, many: int = MANY) ->
             yield sort(*map(list, zip(*rows, strict=True)))
 
     runs = "doc_id bigint, start bigint, n bigint, anchor bigint, hot boolean"
-    by_array = cold.mapInArrow(arrays, runs).select("doc_id", "start", "n")
+    by_array = together(cold).mapInArrow(arrays, runs).select("doc_id", "start", "n")
     strings = seen.where("bucket < 0").select("h1", "h2", "doc_id", "start")
     earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h1", "h2", "e")
     by_hash = strings.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("e")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
@@ -349,9 +359,9 @@ def _runs(d, s, n, anchor=None, hot=None) -> pa.RecordBatch:
     )
 
 
-def _cover(docs: DataFrame, length: int, many: int) -> DataFrame:
+def _cover(docs: DataFrame, folder: str, length: int, many: int) -> DataFrame:
     """doc_id, text, gone: the removed strings of each document (null: none)."""
-    gone = removed_windows(docs, length, many).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = removed_windows(docs, folder, length, many).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     return docs.select("doc_id", "text").join(gone.hint("shuffle_hash"), "doc_id", "left")
 
 
@@ -391,7 +401,8 @@ def digest(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame
                     r.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _cover(docs, length, many).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    with scratch(docs.sparkSession) as folder:
+        return cut(_cover(docs, folder, length, many).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
 
 
 ORACLE = r"""
