@@ -23,7 +23,11 @@ def test_decontamination(docs, texts, items):
 def test_decontamination_edges(odd, empty, docs, items):
     assert rows(decontamination.digest(empty, items)) == []
     assert not any(r.contaminated for r in decontamination.digest(docs, items.limit(0)).collect())
-    assert decontamination.digest(odd, items).count() == 8
+    have = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    assert rows(decontamination.digest(odd, items)) == sorted(brute.contaminated(have, [tuple(r) for r in items.collect()]), key=str)
+    own = odd.sparkSession.createDataFrame([(1, have[0][1])], "item_id bigint, text string")
+    assert sorted(str(r.doc_id) for r in decontamination.digest(odd, own).where("contaminated").collect()) == ["1", "1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in decontamination.decontaminate(odd, own).collect()) == ["2", "3", "4", "None"]
 
 
 def test_proximity(spark):
@@ -257,7 +261,8 @@ def test_notices_keep_their_label_with_changed_words_and_lose_it_when_sparse(spa
 
 def test_license_edges(odd, empty):
     assert rows(licenses.digest(empty)) == []
-    assert licenses.digest(odd).count() == 8
+    have = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    assert rows(licenses.digest(odd)) == sorted([(d, len(brute.words(t)), 0, None, None, "", "", 0.0) for d, t in have], key=str)
 
 
 def test_segments_are_maximal():
@@ -445,7 +450,10 @@ def test_mixing(docs, texts, odd, empty):
     assert all(r.release <= r.slot < r.deadline for r in got)
     for s in {r.source for r in got}:
         assert sorted(r["rank"] for r in got if r.source == s) == list(range(sum(r.source == s for r in got)))
-    assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() == 8
+    assert mixing.mix(empty).count() == 0
+    # one source, the null one
+    got = mixing.mix(odd).collect()
+    assert sorted((r.slot, r.place) for r in got) == [(0, i) for i in range(8)] and {r.source for r in got} == {None}
     some = mixing.mix(docs, docs.sparkSession.createDataFrame([("s0", 1.0), ("s1", 3.0)], "source string, target double"))
     assert {r.source for r in some.collect() if r.slot is None} == {"s2"}
 
