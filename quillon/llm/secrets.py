@@ -165,7 +165,10 @@ def discoveries(tested: DataFrame, q: float = 0.05) -> DataFrame:
 def random_spans(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """doc_id, th, s, e of the tokens found by the battery."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    c = t.select("doc_id", F.xxhash64("t").alias("th"), "t", F.explode(_spans(F.col("t"), CANDIDATE, 3)).alias("x")).drop("t")
+    # the hash first: beside the spans, it would be taken of the whole text for each of them
+    c = t.select("doc_id", F.xxhash64("t").alias("th"), _spans(F.col("t"), CANDIDATE, 3).alias("xs"))
+    # outer, or a filter on the spans' number goes below and searches every text twice
+    c = c.select("doc_id", "th", F.explode_outer("xs").alias("x")).where("x is not null")
     c = c.select("doc_id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("token"))
     # positions and statistics of candidates only, used twice below
     return discoveries(cut(battery(c)), q).select("doc_id", "th", "s", "e", "encoding")
