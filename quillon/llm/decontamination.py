@@ -34,7 +34,8 @@ def tokens(docs: DataFrame) -> DataFrame:
     """th, doc_id, pos, term: the corpus word by word."""
     # the hash first: beside the words, it would be taken of the whole text for each of them
     cut_up = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
-    return cut_up.select("doc_id", "th", F.posexplode("ws").alias("pos", "term"))
+    # outer, or a filter on the words' number goes below and cuts every text up twice
+    return cut_up.select("doc_id", "th", F.posexplode_outer("ws").alias("pos", "term")).where("pos is not null")
 
 
 def rarest(docs: DataFrame, wins: DataFrame, lists: int = 2) -> DataFrame:
