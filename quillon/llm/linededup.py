@@ -44,7 +44,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     spark = docs.sparkSession
     # the hash first: beside the lines, it would be taken of the whole text for each of them
     body = docs.select("doc_id", F.xxhash64("text").alias("th"), F.transform(_lines(F.col("text")), line_key).alias("ks"))
-    body = body.select("doc_id", "th", F.posexplode("ks").alias("pos", "k"))
+    # outer, or a filter on the lines' number goes below and cuts every text up twice
+    body = body.select("doc_id", "th", F.posexplode_outer("ks").alias("pos", "k"))
     with scratch(spark) as folder:
         lines = stored(body.where(F.char_length("k") >= min_chars).select("doc_id", "th", "pos", *_hashes(F.col("k"))), folder)
         # distinct first: a hot key's rows are spread by document before they are counted
