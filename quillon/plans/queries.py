@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,7 @@ from quillon.plans.views import MAIL, OCR_P, P, table, v_blocks, v_flags, v_mail
 from quillon.sources.eml import read_mails
 from quillon.sources.providers import by_lookup, interpret
 from quillon.sources.shared import cut, scratch
-from quillon.sources.sinks import load_json, mail_reports, report_entries, save_json, write_full_report
+from quillon.sources.sinks import load_full_report, load_json, mail_reports, report_entries, save_json, write_full_report
 from quillon.sources.writer import write_forms, write_mails
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,18 +424,14 @@ def eml_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, url, length(html) AS n, md5(html) AS md5, page_id % 3 AS flag, 2 * page_id + 5e-1 AS score FROM pages")
 def report_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of all mails as one JSON array, in a file on the driver, and its rows read back."""
+    """The report of all mails as one JSON array, in a file in the shared folder, and its rows read back."""
     mails = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("subject"), F.lit(None).cast("string").alias("sender"), "html")
     analysis = mails.select("page_id", F.array((F.col("page_id") % 3).alias("f")).alias("flags"), (2 * F.col("page_id") + 0.5).alias("global_ai_score"), "html")
     entries = report_entries(mails, analysis, "page_id")
-    handle, path = tempfile.mkstemp(suffix=".json")
-    os.close(handle)
-    write_full_report(entries, path, "page_id")
-    with open(path, encoding="utf8") as f:
-        whole = spark.createDataFrame([(f.read(),)], "j string")
-    os.remove(path)
-    back = whole.select(F.explode(F.from_json("j", f"array<{entries.schema.simpleString()}>")).alias("e")).select("e.*")
-    return back.select("page_id", F.col("email.subject").alias("url"), F.char_length("analysis.html").alias("n"), F.md5("analysis.html").alias("md5"), F.col("analysis.flags")[0].alias("flag"), F.col("analysis.global_ai_score").alias("score"))
+    with scratch(spark) as folder:
+        n = write_full_report(entries, f"{folder}/report.json", "page_id")
+        back = load_full_report(spark, f"{folder}/report.json", entries.schema) if n else entries
+        return cut(back.select("page_id", F.col("email.subject").alias("url"), F.char_length("analysis.html").alias("n"), F.md5("analysis.html").alias("md5"), F.col("analysis.flags")[0].alias("flag"), F.col("analysis.global_ai_score").alias("score")))
 
 
 @query("SELECT conv_id, turn, role, md5(text) AS md5 FROM conversations")

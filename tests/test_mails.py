@@ -10,6 +10,7 @@ import threading
 from email.message import EmailMessage
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.functions.html import FLAGS, detect_flags, split_blocks
@@ -17,7 +18,7 @@ from quillon.functions.images import data_uri_images
 from quillon.operators import mails as M
 from quillon.plans.analyze import analyze_mails, process_directory
 from quillon.sources import eml, providers, shared
-from quillon.sources.sinks import load_json, mail_reports, save_json, write_mail_reports
+from quillon.sources.sinks import load_full_report, load_json, mail_reports, report_entries, save_json, write_full_report, write_mail_reports
 from quillon.sources.writer import to_eml
 from quillon.streaming.mails import watch_folder
 
@@ -238,6 +239,51 @@ def test_json_is_cleaned_saved_and_loaded(spark, tmp_path):
         assert load_json(spark, str(tmp_path / "x.json"), "a int").count() == n
 
 
+def test_full_report_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    # what parts two entries, within strings
+    odd = ["\n},\n{\n", "[\n{\n", "\n}\n]\n", '"\\', "\u2028\r\n\x00é😀", "", None, "},", "x" * 3000]
+    rows = [(i, ("s", odd[i % len(odd)]), ([(odd[(i + 1) % len(odd)], i / 4)] * (i % 3), {"k": None})) for i in range(60)]
+    kind = "file int, email struct<subject: string, sender: string>, analysis struct<blocks: array<struct<c: string, p: double>>, m: map<string, string>>"
+    df = spark.createDataFrame(rows, kind).repartition(7)
+    path = tmp_path / "a report.json"
+    # neither text nor rows go through the driver
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    monkeypatch.setattr(type(df), "collect", None)
+    for n in (60, 1, 2):
+        some = df.where(f"file < {n}")
+        assert write_full_report(some, str(path)) == n and os.listdir(tmp_path) == [path.name]
+        want = [{"file": i, "email": dict(zip(("subject", "sender"), e, strict=True)), "analysis": {"blocks": [{"c": c, "p": p} for c, p in a[0]], "m": a[1]}} for i, e, a in rows[:n]]
+        assert path.read_text(newline="") == "[\n" + ",\n".join(json.dumps(w, indent=2, ensure_ascii=False) for w in want) + "\n]\n"
+    assert write_full_report(df.where("file < 0"), str(path)) == 0 and len(json.loads(path.read_text())) == 2
+    write_full_report(df, str(path))
+    monkeypatch.undo()
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (499, 4096, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            back = load_full_report(spark, str(path), df.schema)
+            assert back.rdd.getNumPartitions() == -(-path.stat().st_size // size)
+            assert sorted(back.collect()) == sorted(df.collect())
+        # a task begins at every byte
+        few = df.where("file < 4")
+        write_full_report(few, str(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+        assert sorted(load_full_report(spark, str(path), df.schema).collect()) == sorted(few.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+
+
+def test_report_entries_are_those_of_a_join_and_shuffle_texts_once(spark):
+    mails = spark.createDataFrame([(1, "a", "b"), (2, None, None), (2, "c", "d"), (None, "e", "e"), (4, "z", "z")], "page_id bigint, subject string, sender string")
+    analysis = spark.createDataFrame([(1, "a", [1]), (2, "x", [2]), (2, None, None), (None, "e", []), (5, "z", [])], "page_id bigint, html string, flags array<int>")
+    entries = report_entries(mails, analysis, "page_id")
+    want = [(1, ("a", "b"), ("a", [1]))] + [(2, e, a) for e in ((None, None), ("c", "d")) for a in (("x", [2]), (None, None))]
+    assert sorted(map(str, entries.select("page_id", "email.*", "analysis.*").collect())) == sorted(str(Row("page_id", "subject", "sender", "html", "flags")(i, *e, *a)) for i, e, a in want)
+    plan = entries.orderBy("page_id")._jdf.queryExecution().executedPlan().toString()
+    # the other one has subjects and senders only
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
+
+
 def test_answers_that_went_wrong(spark):
     rows = [('x {"ai_probability": 7, "flags": "A", "summary": null}', None), ('{"ai_probability": 7}', "HTTP 500"), (None, None), ("", None), ("none", None)]
     got = providers.interpret(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, reply string, wrong string")).orderBy("i").collect()
